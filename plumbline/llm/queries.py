@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from plumbline.llm.decontaminate import OP5_SQL, op5_decontaminate
 from plumbline.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from plumbline.llm.language import op6_language
 from plumbline.llm.packing import op2_packing
+from plumbline.llm.quality import op1_quality
 from plumbline.llm.url_filter import OP3_SQL, op3_url_filter
 from plumbline.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_packing": op2_packing,
     "op3_url_filter": op3_url_filter,
     "op5_decontaminate": op5_decontaminate,
+    "op6_language": op6_language,
     "op7_warc": op7_warc,
     "op8_exact_dedup": op8_exact_dedup,
 }
