@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from plumbline.llm.decontaminate import OP5_SQL, op5_decontaminate
 from plumbline.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from plumbline.llm.jaccard import op9_ngram_jaccard
 from plumbline.llm.language import op6_language
 from plumbline.llm.packing import op2_packing
 from plumbline.llm.quality import op1_quality
@@ -18,5 +19,6 @@ QUERIES = {
     "op6_language": op6_language,
     "op7_warc": op7_warc,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
 }
 SQL = {"op3_url_filter": OP3_SQL, "op5_decontaminate": OP5_SQL, "op7_warc": OP7_SQL, "op8_exact_dedup": OP8_SQL}
