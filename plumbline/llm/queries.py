@@ -8,6 +8,7 @@ from plumbline.llm.jaccard import op9_ngram_jaccard
 from plumbline.llm.language import op6_language
 from plumbline.llm.packing import op2_packing
 from plumbline.llm.quality import op1_quality
+from plumbline.llm.suffix_dedup import op10_suffix_dedup
 from plumbline.llm.url_filter import OP3_SQL, op3_url_filter
 from plumbline.llm.warc import OP7_SQL, op7_warc
 
@@ -20,5 +21,6 @@ QUERIES = {
     "op7_warc": op7_warc,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_ngram_jaccard": op9_ngram_jaccard,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 SQL = {"op3_url_filter": OP3_SQL, "op5_decontaminate": OP5_SQL, "op7_warc": OP7_SQL, "op8_exact_dedup": OP8_SQL}
