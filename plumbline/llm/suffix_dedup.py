@@ -309,7 +309,7 @@ class RunLengthIndex:
         self.mark = max(1, -(-len(texts).bit_length() // 3))
         marks = (END + ((np.arange(len(texts))[:, None] >> (3 * np.arange(self.mark)[::-1])) & 7)).astype(np.uint8).tobytes()
         ended = np.frombuffer(b"".join(x + marks[k * self.mark : (k + 1) * self.mark] for k, x in enumerate(texts)), np.uint8)
-        self.n, self.longest = len(ended), max(map(len, texts)) + self.mark
+        self.n, self.longest = len(ended), max(map(len, texts)) + 2 * self.mark
         self.words = self._words(ended)
         sa = self._suffixes(self.longest)
         bwt = ended[sa - 1]  # row of suffix 0: the last end
@@ -362,7 +362,7 @@ class RunLengthIndex:
             same[~inside] = 0
             out[open_] += same
             open_ = open_[(same == 8) & (out[open_] < self.longest)]
-        return np.minimum(out, self.longest)
+        return np.minimum(np.minimum(out, self.longest), self.n - np.maximum(i, j))
 
     def statistics(self) -> np.ndarray:
         """For each position the longest match with the row before its own, streamed from the samples: one less than at
