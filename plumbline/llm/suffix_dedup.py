@@ -36,6 +36,8 @@ from plumbline.llm._common import maybe_broadcast, mix, partitions, runs_of, tab
 LENGTH, GRAM = 50, 24
 #: Bytes of text of a chunk, and of the blocks in which hashes are computed.
 CHUNK, BLOCK = 12 << 20, 192 << 10
+#: Bytes of contexts that are indexed together; an index takes about 80 times that.
+INDEX_BYTES = 1 << 20
 END = 0xF8  # this and the seven bytes above occur in no UTF-8
 _TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -74,7 +76,7 @@ def window_keys(b: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.nda
     while 2 * n <= w:
         h = np.minimum(h[: len(h) - n], h[n:])
         n *= 2
-    return np.minimum(h[: len(h) - (w - n)], h[w - n :])
+    return mix(np.minimum(h[: len(h) - (w - n)], h[w - n :]))  # least hashes are small; owners want even keys
 
 
 def contexts(bodies: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -277,7 +279,7 @@ def _ship(owners: int, length: int, gram: int):
             at = by[edge[b] : edge[b + 1]]
             if len(at):
                 local, back = np.unique(doc[at], return_inverse=True)
-                rows.append((b, 1, chunk, ranks[local].tolist(), None, _pack(local.astype("<u4"), back.astype("<u4"), first[at].astype("<u4"), size[at].astype("<u4"), b"".join([blob[k] for k in at.tolist()]))))
+                rows.append((b, 1, chunk, ranks[local].tolist(), None, _pack(local.astype("<u4"), back.astype("<u4"), first[at].astype("<u4"), size[at].astype("<u4"), (key[at] & np.uint64(0xFFFF)).astype("<u2"), b"".join([blob[k] for k in at.tolist()]))))
         return pd.DataFrame(rows, columns=["owner", "kind", "chunk", "ids", "digests", "payload"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -312,7 +314,8 @@ class RunLengthIndex:
         self.n, self.longest = len(ended), max(map(len, texts)) + 2 * self.mark
         self.words = self._words(ended)
         sa = self._suffixes(self.longest)
-        bwt = ended[sa - 1]  # row of suffix 0: the last end
+        bwt = ended[sa - 1].astype(np.int16)
+        bwt[sa == 0] = -1  # nothing stands before the first text
         heads = np.ones(self.n, bool)
         heads[1:] = bwt[1:] != bwt[:-1]
         self.rows = np.flatnonzero(heads)  # runs: first rows, symbols, samples there and before, common prefix lengths
@@ -331,9 +334,9 @@ class RunLengthIndex:
         return out[: len(b)]
 
     def _suffixes(self, depth: int) -> np.ndarray:
-        """Suffixes in order of their first `depth` bytes at least (no match is longer), then of position, by doubling."""
+        """Suffixes in order, by doubling; the texts' own ends make them differ within `depth` bytes."""
         rank, have = None, 8
-        order = np.argsort(self.words, kind="stable")
+        order = np.argsort(self.words)
         key = self.words
         while True:
             ranked = key[order]
@@ -346,7 +349,7 @@ class RunLengthIndex:
             step = min(have, depth - have)
             key = rank << np.uint64(32)
             key[: self.n - step] |= rank[step:] + np.uint64(1)
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             have += step
 
     def _common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -394,43 +397,48 @@ def marked_windows(texts: list[bytes], rank: np.ndarray, length: int = LENGTH) -
     return ((least < whose) & (left >= length))[left >= length]
 
 
+def _marks(at: np.ndarray, blobs: list[bytes], source, place, owner, first, size, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the contexts `at`: which, from and to where in its document, is repeated. Equal contexts are indexed once, for the first document."""
+    if not len(at):
+        return at, at, at
+    number: dict[bytes, int] = {}
+    which = np.fromiter((number.setdefault(blobs[s][p : p + n], len(number)) for s, p, n in zip(source[at].tolist(), place[at].tolist(), size[at].tolist(), strict=True)), np.int64, len(at))
+    low = np.full(len(number), owner[at].max(), np.int64)
+    np.minimum.at(low, which, owner[at])
+    texts, order = list(number), np.argsort(low, kind="stable")
+    windows = marked_windows([texts[k] for k in order.tolist()], low[order], length)
+    counts = np.array([len(texts[k]) - length + 1 for k in order.tolist()], np.int64)
+    begin = np.empty(len(order), np.int64)
+    begin[order] = np.cumsum(counts) - counts
+    later = owner[at] > low[which]
+    whole, some, own = at[later], at[~later], which[~later]
+    n = size[some] - length + 1
+    hit = windows[np.repeat(begin[own], n) + runs_of(n)]
+    inner, occ = runs_of(n)[hit], np.repeat(some, n)[hit]
+    new = np.ones(len(inner), bool)
+    new[1:] = (occ[1:] != occ[:-1]) | (inner[1:] != inner[:-1] + 1)
+    last = np.append(new[1:], True) if len(new) else new
+    return np.concatenate([whole, occ[new]]), np.concatenate([first[whole], first[occ[new]] + inner[new]]), np.concatenate([(first + size)[whole], first[occ[last]] + inner[last] + length])
+
+
 def _match(length: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         lists, sent = pdf[pdf["kind"] == 0], pdf[pdf["kind"] == 1]
         columns = ["kind", "chunk", "ids", "digests", "payload"]
         out = [lists[columns]]
         if len(sent):
-            parts = [_unpack(x, ("<u4", "<u4", "<u4", "<u4", "b")) for x in sent["payload"]]
+            parts = [_unpack(x, ("<u4", "<u4", "<u4", "<u4", "<u2", "b")) for x in sent["payload"]]
             ranks = np.unique(np.array([i for x in sent["ids"] for i in x], object))
             known = {i: k for k, i in enumerate(ranks.tolist())}
-            number: dict[bytes, int] = {}
-            which, owner, first, size, source, local = [], [], [], [], [], []
-            for k, ((docs, back, start, n, blob), ids) in enumerate(zip(parts, sent["ids"], strict=True)):
-                ends = np.cumsum(n.astype(np.int64)).tolist()
-                which.append(np.fromiter((number.setdefault(blob[a:b], len(number)) for a, b in zip([0, *ends[:-1]], ends, strict=True)), np.int64, len(n)))
-                owner.append(np.array([known[i] for i in ids], np.int64)[back])
-                first.append(start.astype(np.int64)), size.append(n.astype(np.int64)), source.append(np.full(len(n), k)), local.append(docs[back])
-            which, owner, first, size, source, local = map(np.concatenate, (which, owner, first, size, source, local))
-            low = np.full(len(number), len(ranks), np.int64)
-            np.minimum.at(low, which, owner)
-            texts = list(number)
-            order = np.argsort(low, kind="stable")
-            windows = marked_windows([texts[k] for k in order.tolist()], low[order], length)
-            counts = np.array([len(texts[k]) - length + 1 for k in order.tolist()], np.int64)
-            begin = np.empty(len(order), np.int64)
-            begin[order] = np.cumsum(counts) - counts
-            whole = owner > low[which]
-            some = np.flatnonzero(~whole)
-            n = size[some] - length + 1
-            at = np.repeat(begin[which[some]], n) + runs_of(n)
-            hit = windows[at]
-            inner, occ = runs_of(n)[hit], np.repeat(some, n)[hit]
-            new = np.ones(len(inner), bool)
-            new[1:] = (occ[1:] != occ[:-1]) | (inner[1:] != inner[:-1] + 1)
-            last = np.append(new[1:], True) if len(new) else new
-            o = np.concatenate([np.flatnonzero(whole), occ[new]])
-            a = np.concatenate([first[whole], first[occ[new]] + inner[new]])
-            b = np.concatenate([(first + size)[whole], first[occ[last]] + inner[last] + length])
+            owner = np.concatenate([np.array([known[i] for i in ids], np.int64)[p[1]] for p, ids in zip(parts, sent["ids"], strict=True)])
+            first, size, low_key = (np.concatenate([p[k].astype(np.int64) for p in parts]) for k in (2, 3, 4))
+            local = np.concatenate([p[0][p[1]] for p in parts]).astype(np.int64)
+            source = np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts])
+            place = np.concatenate([np.cumsum(p[3].astype(np.int64)) - p[3] for p in parts])
+            blobs = [p[5] for p in parts]
+            share = 1 + int(size.sum()) // INDEX_BYTES  # equal keys have equal parts, so parts of the keys are indexed one after the other
+            found = [_marks(np.flatnonzero(low_key % share == k), blobs, source, place, owner, first, size, length) for k in range(share)]
+            o, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
             by = np.argsort(source[o], kind="stable")
             edge = np.searchsorted(source[o][by], np.arange(len(sent) + 1))
             rows = []
