@@ -9,8 +9,8 @@ repeated task attempt left has no row and is removed. A folder without manifest
 Payloads that occur more than once are written once: the row with the smallest id is a response, the others revisit it.
 
 Defined cases: a null payload is empty and a null url is `urn:none`; a row with a null id sorts first, is always a
-response and is never revisited; rows repeated with one id are records of their own, of which only the first may be a
-response, and the others revisit that id; an empty table gives an archive without files; other columns are never read.
+response and is never revisited; rows repeated with one id are records of their own (all responses where that id is the
+smallest of its payload); an empty table gives an archive without files; other columns are never read.
 """
 
 from __future__ import annotations
@@ -75,7 +75,7 @@ def _writer(folder: str, roll: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = _fs(folder)
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
-        out, rows, info = None, [], {}
+        out, rows, info, marks = None, [], {}, (None, {})
 
         def close() -> None:
             nonlocal out
@@ -85,14 +85,19 @@ def _writer(folder: str, roll: int):
                 out = None
 
         for pdf in batches:
-            for page_id, url, html, refers in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["refers_to"], strict=True):
+            for kind, page_id, url, html, sha, refers in zip(pdf["kind"], pdf["page_id"], pdf["url"], pdf["html"], pdf["sha"], pdf["refers_to"], strict=True):
+                page_id = None if pd.isna(page_id) else int(page_id)
+                if kind == 0:
+                    marks = (page_id, (marks[1] if marks[0] == page_id else {}) | {sha: int(refers)})
+                    continue
+                payload = html.encode("utf-8", "surrogatepass")
+                refers = marks[1].get(hashlib.sha256(payload).hexdigest()) if page_id is not None and marks[0] == page_id else None
                 if out is None:
                     final = f"part-{part:06d}-{len(rows):05d}.warc.gz"
                     info = {"temp": f".tmp-{attempt}-{final}", "name": final, "records": 0, "bytes": 0, "sha256": hashlib.sha256()}
                     fs.create_dir(base, recursive=True)
                     out = fs.open_output_stream(f"{base}/{info['temp']}", compression=None)
-                one = lambda x: None if pd.isna(x) else int(x)
-                data = _gzip(record(one(page_id), url, (html or "").encode("utf-8", "surrogatepass"), one(refers)))
+                data = _gzip(record(page_id, url, payload, refers))
                 out.write(data)
                 info["records"] += 1
                 info["bytes"] += len(data)
@@ -105,20 +110,23 @@ def _writer(folder: str, roll: int):
     return run
 
 
-def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """pages(page_id, url, html) with refers_to. Only digests go into the grouping, summed up by each task first."""
-    pages = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    digest = F.sha2(F.encode("html", "UTF-8"), 256)
-    groups = pages.where("page_id is not null").where(F.octet_length("html") >= min_bytes).groupBy(digest.alias("sha")).agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("sha", "first_id")
-    out = pages.withColumn("sha", digest).join(groups, "sha", "left")
-    repeated = F.col("first_id").isNotNull() & F.col("page_id").isNotNull()
-    return out.select("page_id", "url", "html", F.when(repeated & (F.col("page_id") != F.col("first_id")), F.col("first_id")).alias("refers_to"))
+def revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
+    """page_id, sha, refers_to of the rows of pages(page_id, html) whose payload a smaller id has too. Only digests are
+    shuffled, summed up by each task first."""
+    digest = F.sha2(F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8"), 256)
+    long_enough = F.octet_length(F.coalesce(F.col("html").cast("string"), F.lit(""))) >= min_bytes
+    ids = pages.where("page_id is not null").where(long_enough).select("page_id", digest.alias("sha"))
+    groups = ids.groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").select("sha", "refers_to")
+    return ids.join(groups, "sha").where("page_id <> refers_to").select("page_id", "sha", "refers_to").distinct()
 
 
-def write_archive(pages: DataFrame, folder: str, roll: int = ROLL_BYTES, shards: int | None = None) -> list[dict]:
-    """Write pages(page_id, url, html, refers_to) to a new folder; returns the manifest, an entry a file."""
+def write_archive(pages: DataFrame, folder: str, roll: int = ROLL_BYTES, shards: int | None = None, min_bytes: int = MIN_REVISIT_BYTES) -> list[dict]:
+    """Write pages(page_id, url, html) to a new folder; returns the manifest, an entry a file. Which rows revisit others
+    travels as rows of its own in the range sort, so that payloads are shuffled once."""
     spark = pages.sparkSession
-    ranged = pages.repartitionByRange(shards or partitions(spark), "page_id").sortWithinPartitions("page_id", "refers_to", "url", "html")
+    rows = pages.select(F.lit(1).alias("kind"), "page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), F.lit(None).cast("string").alias("sha"), F.lit(None).cast("long").alias("refers_to"))
+    marks = revisits(pages, min_bytes).select(F.lit(0).alias("kind"), "page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "sha", F.col("refers_to").cast("long").alias("refers_to"))
+    ranged = rows.unionByName(marks).repartitionByRange(shards or partitions(spark), "page_id").sortWithinPartitions("page_id", "kind", "url", "html")
     made = [r.asDict() for r in ranged.mapInPandas(_writer(folder, roll), "temp string, name string, records long, bytes long, sha256 string").collect()]
     fs, base = _fs(folder)
     fs.create_dir(base, recursive=True)
@@ -210,7 +218,7 @@ def read_archive(spark: SparkSession, folder: str, payloads: bool = True) -> Dat
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_path(spark, "warc")
-    write_archive(with_revisits(table(spark, sf_dir, "pages")), folder)
+    write_archive(table(spark, sf_dir, "pages"), folder)
     return read_archive(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

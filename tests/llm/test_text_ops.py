@@ -189,7 +189,7 @@ def test_warc(spark, tmp_path):
     places = []
     for name in ("one", "two"):
         folder = f"file://{tmp_path}/{name}"
-        manifest = warc.write_archive(warc.with_revisits(df), folder, roll=2000, shards=4)
+        manifest = warc.write_archive(df, folder, roll=2000, shards=4)
         places.append([(x["name"], x["sha256"]) for x in manifest])
         assert not [p for p in (tmp_path / name).iterdir() if p.name.startswith(".tmp")]
     assert places[0] == places[1] and len(places[0]) > 4
@@ -208,5 +208,5 @@ def test_warc(spark, tmp_path):
         else:
             assert x.refers_to in first.values() and x.refers_to != x.page_id
     assert sum(x.record_type == "revisit" for x in got) == sum(first[(h or "")] != i for i, _, h in data if i is not None)
-    warc.write_archive(warc.with_revisits(df.limit(0)), f"file://{tmp_path}/none")
+    warc.write_archive(df.limit(0), f"file://{tmp_path}/none")
     assert warc.read_archive(spark, f"file://{tmp_path}/none").count() == 0
