@@ -35,7 +35,7 @@ PROGRAMS: dict[str, tuple[str, str]] = {
         for k, c, p, w in (
             ("gt", "size", "is higher than 40", "p_size > 40"), ("ge", "size", "is at least 40", "p_size >= 40"), ("lt", "size", "is less than ten", "p_size < 10"), ("le", "size", "is at most 10", "p_size <= 10"),
             ("eq", "size", "is equal to 7", "p_size = 7"), ("ne", "size", "is not 7", "p_size <> 7"), ("between", "size", "is between 10 and 20", "p_size BETWEEN 10 AND 20"), ("start", "brand", "starts with Brand#1", "starts_with(p_brand, 'Brand#1')"),
-            ("end", "brand", "ends with 3", "ends_with(p_brand, '3')"), ("like", "type", "contains STEEL", "contains(p_type, 'STEEL')"),
+            ("end", "brand", "ends with 3", "ends_with(p_brand, '3')"), ("like", "type", "contains ECO", "contains(p_type, 'ECO')"),
         )
     },
     "comparative_ref": (_PRICES + "return average of #2 ;return #1 where #2 is higher than #3", "SELECT o_orderkey AS answer FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders)"),

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from plumbline.operators import catalogue as operations
 from plumbline.plans import catalogue
 
-_MODULES = (catalogue,)
+_MODULES = (catalogue, operations)
 
 
 def queries() -> dict:
