@@ -9,7 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # Number words and scales.
 UNITS = (
@@ -36,10 +36,23 @@ def unescaped(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def unescaped_all(s: pd.Series) -> pd.Series:
+    return s.map(lambda xs: [None if x is None else html.unescape(x) for x in xs], na_action="ignore")
+
+
+def _collapsed(text: Column) -> Column:
+    return F.regexp_replace(F.trim(F.regexp_replace(standardized(text), r"\s+", " ")), r"\.:\d+(-\d+)*", ".")
+
+
 def standardized_well(text: Column) -> Column:
     """Entities resolved, white space collapsed, reference marks of the kind `.:12-13` dropped."""
-    flat = F.trim(F.regexp_replace(standardized(unescaped(text)), r"\s+", " "))
-    return F.regexp_replace(flat, r"\.:\d+(-\d+)*", ".")
+    return _collapsed(unescaped(text))
+
+
+def all_standardized_well(texts: Column) -> Column:
+    """The same for each text of an array."""
+    return F.transform(unescaped_all(texts), _collapsed)
 
 
 @F.pandas_udf(StringType())

@@ -117,8 +117,7 @@ def evaluated(steps: list[str], answers: list[str | None]) -> list[object]:
         elif step.op is None or not refs or None in refs:
             out.append(None)
         else:
-            named = [out[int(a[1:]) - 1] for a in step.args if a and re.fullmatch(r"#\d+", a)]
-            out.append(_step(step, named))
+            out.append(_step(step, [out[r - 1] for r in step.refs]))
     return out
 
 
