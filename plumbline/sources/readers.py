@@ -60,10 +60,10 @@ def hotpot_questions(spark: SparkSession, path: str) -> DataFrame:
 def squad_questions(spark: SparkSession, path: str) -> DataFrame:
     """Questions with standardised texts; offsets move by what the standardised context lost at its start."""
     rows = _squad(spark, path)
-    lead = F.length("context") - F.length(F.ltrim(F.col("context")))
+    rows = rows.withColumn("lead", F.length("context") - F.length(F.ltrim(F.col("context"))))
     rows = rows.withColumn("answers", F.coalesce("q.answers", F.array().cast(f"array<{s.SQUAD_ANSWER}>")))
     rows = rows.withColumn("texts", all_standardized_well(F.transform("answers", lambda a: a["text"])))
-    moved = F.zip_with("answers", "texts", lambda a, t: F.struct(t.alias("text"), (a["answer_start"] - lead).alias("answer_start")))
+    moved = F.zip_with("answers", "texts", lambda a, t: F.struct(t.alias("text"), (a["answer_start"] - F.col("lead")).alias("answer_start")))
     return rows.select(F.col("q.id").alias("query_id"), standardized_well(F.col("q.question")).alias("question"), standardized_well(F.col("context")).alias("context"), moved.alias("answers"), F.coalesce("q.is_impossible", F.lit(False)).alias("is_impossible"), F.col("q.is_boolq").isNotNull().alias("is_boolq"))
 
 
