@@ -256,7 +256,7 @@ def filtered(made_: DataFrame, programs: DataFrame, percent: float = 0.15, check
 def for_dataset(made_: DataFrame, dataset: str) -> DataFrame:
     """Without the kinds that make bad examples for a data set."""
     parts, bad = F.split("info", INFO_SEP), F.lit(False)
-    if dataset in ("drop", "iirc", "hotpotqa", "break"):
+    if dataset in ("drop", "iirc", "hotpotqa"):
         bad = (F.col("type") == "op_replace_aggregate") | (F.col("type") == "prune_last_step") & (F.element_at(parts, -1) != "project")
     if dataset in ("drop", "iirc"):
         bad = bad | (F.col("type") == "prune_step")

@@ -17,7 +17,7 @@ def _csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def programs(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """Program files of five columns."""
-    out = _csv(spark, path, s.BREAK)
+    out = _csv(spark, path, s.PROGRAMS)
     return out.limit(limit) if limit is not None else out
 
 

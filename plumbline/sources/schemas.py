@@ -1,6 +1,6 @@
 """Schemas of the files."""
 
-BREAK = "question_id string, question_text string, decomposition string, operators string, split string"
+PROGRAMS = "question_id string, question_text string, decomposition string, operators string, split string"
 PARSER_INPUT = "question_id string, source string"
 PERTURBED = "id string, question string, decomposition string, transformation string, type string"
 ANSWER = "struct<number:string, date:struct<day:string, month:string, year:string>, spans:array<string>>"

@@ -10,7 +10,7 @@ from plumbline.sources import schemas
 
 
 def read_programs(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.readStream.schema(schemas.BREAK).csv(folder, header=True, escape='"')
+    return spark.readStream.schema(schemas.PROGRAMS).csv(folder, header=True, escape='"')
 
 
 def perturbed_stream(programs: DataFrame) -> DataFrame:
