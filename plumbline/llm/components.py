@@ -1,13 +1,48 @@
-"""Connected components of an edge table by alternating large-star and small-star rounds, all in DataFrame operations."""
+"""Connected components of an edge table: each task first contracts the edges that it holds (a forest of at most HELD edges
+at a time), then large-star and small-star rounds join what tasks hold, until nothing changes."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm._common import drop_written, shared_path
 
 
+HELD = 500_000
+
+
+def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same connections as edges from each node to the smallest that a task's edges join it with."""
+    root: dict = {}
+
+    def find(x):
+        top = x
+        while root[top] != top:
+            top = root[top]
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    def stars() -> pd.DataFrame:
+        pairs = [(x, r) for x in root if (r := find(x)) != x]
+        return pd.DataFrame({"a": [x for x, _ in pairs], "b": [r for _, r in pairs]}, dtype=object)
+
+    for pdf in batches:
+        for a, b in zip(pdf["a"], pdf["b"], strict=True):
+            root.setdefault(a, a), root.setdefault(b, b)
+            x, y = find(a), find(b)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+        if len(root) > HELD:
+            yield stars()
+            root.clear()
+    yield stars()
+
+
 def _both(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
@@ -31,13 +66,13 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     node with an edge to another. Nulls and loops are left out. Each round is a table in the shared folder; a hot node's
     rows are summed up before they are shuffled, and joined by a join that Spark can split."""
     spark = edges.sparkSession
-    now, last, mark = edges.where("a <> b").select("a", "b").distinct(), None, None
+    now, last, mark = edges.where("a <> b").select("a", "b").mapInPandas(_contract, edges.select("a", "b").schema).distinct(), None, None
     for _ in range(rounds):
         path = shared_path(spark, "stars")
         if mark is not None:
-            now = _small_star(_large_star(now).where("a <> b").distinct()).where("a <> b").distinct()
+            now = _small_star(_large_star(now.mapInPandas(_contract, now.schema).distinct()).where("a <> b").distinct()).where("a <> b").distinct()
         now.write.parquet(path)
-        now = spark.read.schema(edges.schema).parquet(path)
+        now = spark.read.schema(edges.select("a", "b").schema).parquet(path)
         if last:
             drop_written(spark, last)
         last = path
