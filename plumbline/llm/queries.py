@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from plumbline.llm.decontaminate import OP5_SQL, op5_decontaminate
 from plumbline.llm.exact_dedup import OP8_SQL, op8_exact_dedup
-from plumbline.llm.jaccard import op9_ngram_jaccard
+from plumbline.llm.jaccard import OP9_SQL, op9_ngram_jaccard
 from plumbline.llm.language import op6_language
 from plumbline.llm.packing import op2_packing
 from plumbline.llm.quality import op1_quality
@@ -23,4 +23,4 @@ QUERIES = {
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-SQL = {"op3_url_filter": OP3_SQL, "op5_decontaminate": OP5_SQL, "op7_warc": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+SQL = {"op3_url_filter": OP3_SQL, "op5_decontaminate": OP5_SQL, "op7_warc": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op9_ngram_jaccard": OP9_SQL}
