@@ -129,7 +129,7 @@ def nested_regroup(spark, sf_dir):
 
 def _turns(spark, sf_dir):
     c = _t(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    return c.alias("a").join(c.alias("b"), F.expr("a.conv_id = b.conv_id AND b.turn = a.turn + 1")).select("a.conv_id", "a.turn", F.substring("a.text", 1, 400).alias("x"), F.substring("b.text", 1, 400).alias("y"))
+    return c.alias("a").join(c.alias("b"), F.expr("a.conv_id = b.conv_id AND b.turn = a.turn + 1")).select("a.conv_id", "a.turn", F.col("a.text").alias("x"), F.col("b.text").alias("y"))
 
 
 def token_f1(spark, sf_dir):
@@ -143,6 +143,13 @@ def sari_unigrams(spark, sf_dir):
     return rows.select("conv_id", "turn", *[F.round(v, 6).alias(k) for k, v in parts.items()])
 
 
+def sari(spark, sf_dir):
+    """SARI over n = 1..4 of a turn (source), the one after it (prediction) and the one after that (target)."""
+    c = _t(spark, sf_dir, "conversations").select("conv_id", F.col("turn") - 2, "text").toDF("conv_id", "turn", "z")
+    x, y, z = (F.split(F.lower(k), " ") for k in ("x", "y", "z"))
+    return _turns(spark, sf_dir).join(c, ["conv_id", "turn"]).select("conv_id", "turn", F.round(metrics.sari(x, y, z), 6).alias("sari"))
+
+
 def find_spans(spark, sf_dir):
     return _t(spark, sf_dir, "benchmark").select("item_id", F.explode(tx.all_offsets(F.col("text"), F.lit("an")).cast("array<long>")).alias("offset"))
 
@@ -214,6 +221,7 @@ OPERATIONS = {
         "r AS (SELECT conv_id, turn, CASE WHEN sel > 0 THEN hit / sel ELSE 1 END AS p1, CASE WHEN rel > 0 THEN hit / rel ELSE 1 END AS r1, CASE WHEN ksel > 0 THEN khit / ksel ELSE 1 END AS p2, CASE WHEN krel > 0 THEN khit / krel ELSE 1 END AS r2, CASE WHEN dsel > 0 THEN dhit / dsel ELSE 1 END AS d FROM c) "
         'SELECT conv_id, turn, round(CASE WHEN p1 > 0 AND r1 > 0 THEN 2 * p1 * r1 / (p1 + r1) ELSE 0 END, 6) AS "add", round(CASE WHEN p2 > 0 AND r2 > 0 THEN 2 * p2 * r2 / (p2 + r2) ELSE 0 END, 6) AS keep, round(d, 6) AS "delete" FROM r',
     ),
+    "sari": (sari, None),
     "find_spans": (find_spans, "SELECT item_id, unnest(list_filter(range(0, length(text) - 1), lambda i: substr(text, i + 1, 2) = 'an'))::BIGINT AS \"offset\" FROM benchmark"),
     "json_props": (json_props, "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events"),
     "best_answer": (best_answer, "SELECT user_id, arg_max(event_id, row(value, event_id)) AS best_event FROM events GROUP BY 1"),
