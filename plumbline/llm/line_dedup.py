@@ -1,13 +1,14 @@
 """Removal of repeated lines by hashing.
 
 Each text is cut at line feeds; a line is normalised (A-Z lower-cased, white space collapsed) and hashed to 128 bits. Lines of
-at least MIN_WORDS words are grouped by digest over all documents; the earliest one, by document id and then by position,
-stays, and the others go. Where they stood is kept as character offsets into the original text.
+at least min_words words (op4_line_dedup: one, so every line that is not blank) are grouped by digest over all documents; the
+earliest one, by document id and then by position, stays, and the others go. Where they stood is kept as character offsets
+into the original text.
 
 The scan writes a small table of units; grouping sums up by task first, so a line that a third of all documents share sends a
 row a task, and the join with the groups is one that Spark can split. Texts are not shuffled.
 
-Defined cases: null and empty texts have no units; shorter lines always stay; a null id comes after all others; rows that
+Defined cases: null and empty texts have no units; blank lines and those of fewer words always stay; a null id comes after all others; rows that
 share an id are one document as far as the result goes (their units are counted together); an empty table gives no rows;
 other columns are never read.
 """
@@ -80,4 +81,4 @@ def without(text: str, starts: list[int], ends: list[int]) -> str:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_lines(table(spark, sf_dir, "documents"))
+    return repeated_lines(table(spark, sf_dir, "documents"), min_words=1)
