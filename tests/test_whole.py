@@ -54,3 +54,20 @@ def test_sari_of_whole_texts(spark):
     assert got.keys() == ones.keys() and all(got[k] == pytest.approx(ones[k], abs=1e-6) for k in ones)
     got = {(r.conv_id, r.turn): r.sari for r in registry.queries()["q_sari"](spark, SF).collect()}
     assert four and got.keys() == four.keys() and all(got[k] == pytest.approx(four[k], abs=1e-6) for k in four)
+
+
+def test_number_pairs_of_all_orders(spark):
+    orders, want = {}, {}
+    for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_quantity").collect():
+        orders.setdefault(r.l_orderkey, []).append(float(r.l_quantity))
+    assert any(len(v) > 4 for v in orders.values())
+    for key, v in orders.items():
+        v.sort()
+        answer = sum(v[:2])
+        if len(v) > 1 and not (answer % 1 == 0 and answer < 10):
+            v = [*v, 100.0]
+            pairs = {tuple(sorted((a, b))) for k, a in enumerate(v) for b in v[k + 1 :] if a + b == answer}
+            if len(pairs) == 1:
+                want[key] = pairs.pop()
+    got = {r.qid: (r.low, r.high) for r in registry.queries()["q_number_pairs"](spark, SF).collect()}
+    assert got == want
