@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A side with at most this many rows of two or three numbers (some tens of MB) is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 500_000
+#: The same for sides with texts or lists.
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +71,12 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def small_enough(df: DataFrame, *wide: str) -> DataFrame:
+    """A broadcast of df where its rows and the bytes of its wide columns allow it."""
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(sum((F.octet_length(c) for c in wide), F.lit(0))), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,5 +1,4 @@
-"""Connected components of an edge table: each task first contracts the edges that it holds (a forest of at most HELD edges
-at a time), then large-star and small-star rounds join what tasks hold, until nothing changes."""
+"""Connected components of an edge table: each task first contracts the edges that it holds (a forest at a time), then large-star and small-star rounds join what tasks hold, until nothing changes."""
 
 from __future__ import annotations
 
@@ -9,10 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import drop_written, shared_path
+from plumbline.llm._common import drop_written, shared_path, written
 
 
-HELD = 500_000
+#: Edges that one task contracts at a time.
+HELD = 200_000
 
 
 def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -37,7 +37,7 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             x, y = find(a), find(b)
             if x != y:
                 root[max(x, y)] = min(x, y)
-        if len(root) > HELD:
+        if len(root) > 2 * HELD:
             yield stars()
             root.clear()
     yield stars()
@@ -64,22 +64,26 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """edges: a, b of one type that can be ordered. Returns node, component (the smallest node that it reaches) of every
     node with an edge to another. Nulls and loops are left out. Each round is a table in the shared folder; a hot node's
-    rows are summed up before they are shuffled, and joined by a join that Spark can split."""
+    rows are summed up before they are shuffled, and joined by a join that Spark can split. Once at most HELD edges are left,
+    one task ends it."""
     spark = edges.sparkSession
-    now, last, mark = edges.where("a <> b").select("a", "b").mapInPandas(_contract, edges.select("a", "b").schema).distinct(), None, None
+    last, mark = shared_path(spark, "stars"), None
+    edges.where("a <> b").select("a", "b").mapInPandas(_contract, edges.select("a", "b").schema).distinct().write.parquet(last)
+    now = spark.read.schema(edges.select("a", "b").schema).parquet(last)
     for _ in range(rounds):
+        found = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if found[0] <= HELD:  # one task holds what is left
+            now = now.coalesce(1).mapInPandas(_contract, now.schema)
+            break
+        if found == mark:
+            break
+        mark = found
         path = shared_path(spark, "stars")
-        if mark is not None:
-            now = _small_star(_large_star(now.mapInPandas(_contract, now.schema).distinct()).where("a <> b").distinct()).where("a <> b").distinct()
+        now = _small_star(_large_star(now.mapInPandas(_contract, now.schema).distinct()).where("a <> b").distinct()).where("a <> b").distinct()
         now.write.parquet(path)
         now = spark.read.schema(edges.select("a", "b").schema).parquet(path)
-        if last:
-            drop_written(spark, last)
+        drop_written(spark, last)
         last = path
-        found = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if found == mark or not found[0]:
-            break
-        mark = found
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return written(now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()), "components")
