@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +78,32 @@ def small_enough(df: DataFrame, *wide: str) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
+TYPES = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+
+
+def arrow_type(name: str) -> pa.DataType:
+    if name.startswith("array<"):
+        return pa.list_(arrow_type(name[6:-1]))
+    return pa.map_(pa.string(), pa.float64()) if name == "map<string,double>" else TYPES[name]
+
+
+def from_texts(df: DataFrame, make, fields: dict[str, str], text: str = "__text") -> DataFrame:
+    """df without its text column and with the fields; make() is called once a task and gives a function from a batch's texts
+    to a list for each field. The other columns stay in Arrow, so they come back as they were, 64-bit ids beside nulls too."""
+    names = [n for n in df.columns if n != text]
+    types = {n: arrow_type(t) for n, t in fields.items()}
+
+    def run(batches):
+        work = make()
+        for batch in batches:
+            found = work(batch.column(batch.schema.get_field_index(text)).to_pylist())
+            kept = [batch.column(batch.schema.get_field_index(n)) for n in names]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(found[n], t) for n, t in types.items())], names=[*names, *types])
+
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in df.select(*names).dtypes), *(f"{n} {t}" for n, t in fields.items())])
+    return df.mapInArrow(run, schema)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,37 +1,35 @@
 """Compression classifier of text quality.
 
-Two zstandard dictionaries are trained, one from good and one from bad labelled texts. A text that is like the good ones
-gets smaller with the good dictionary. The difference of the two compressed sizes over the text's length is the main
-feature; the compressed rate without a dictionary and the log of the length tell how far the difference can be trusted.
-A logistic curve, fitted on labelled texts that no dictionary has seen and weighted to the true share of the labels,
-turns these into the probability of a good text.
+Two zstandard dictionaries of equal size are built, one from good and one from bad labelled texts. A text that is like the good ones
+gets smaller with the good dictionary. The score is the difference of the two compressed sizes over the text's length, calibrated:
+a logistic curve of this difference, with the log of the length as its reliability (alone and as a factor), weighted to the true
+share of the labels. It is fitted across two halves of the sample, each measured with the dictionaries of the other, so that
+no text is measured with a dictionary that holds it.
 
-Fitting takes a bounded sample of labelled rows, chosen by a hash of the id: DICTIONARY_DOCS and CALIBRATION_DOCS of each
-label, and at most SAMPLE_BYTES of text. The shares of the labels are counted over all rows that may be learnt from.
-Scoring reads every whole text, in one scan without a shuffle.
+Fitting takes a bounded sample of labelled rows, chosen by a hash of the id: SAMPLE_DOCS of each label. A dictionary holds
+PIECE characters of a text (from a place that a hash chooses, where the text is longer), up to DICTIONARY_BYTES in all.
+Texts to calibrate on are read whole, where they are; only their features come to the driver. The shares of the labels are
+counted over all rows that may be learnt from. Scoring reads every whole text, in one scan without a shuffle.
 
 Defined cases: null and empty texts get the score of length 0; ids with conflicting labels, null labels or null ids teach
 nothing; without two texts of each label the score of every row is the share of good labels (0.5 without labels); rows
-repeat as they are; other columns are never read.
+repeat as they are; a score equal to the threshold is predicted 1; columns that aren't asked for are never read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import learns, table
+from plumbline.llm._common import from_texts, learns, table
 
-DICTIONARY_DOCS = 1500
-CALIBRATION_DOCS = 1500
-SAMPLE_BYTES = 96 << 20
-DICTIONARY_BYTES = 256 << 10
-LEVEL = 3
+SAMPLE_DOCS = 3000
+DICTIONARY_BYTES = 1 << 20
+PIECE = 500
+LEVEL = 9
 THRESHOLD = 0.3
 
 
@@ -44,23 +42,30 @@ class Model:
     scale: list[float]
     share: float
 
-    def features(self, texts: list[str | None]) -> np.ndarray:
+    def packers(self) -> list:
         import zstandard
 
-        packer = [zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, dict_data=x) for x in (zstandard.ZstdCompressionDict(self.good), zstandard.ZstdCompressionDict(self.bad))]
-        packer.append(zstandard.ZstdCompressor(level=LEVEL, write_content_size=False))
+        found = []
+        for body in (self.good, self.bad):
+            words = zstandard.ZstdCompressionDict(body, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            words.precompute_compress(level=LEVEL)
+            found.append(zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, dict_data=words))
+        return found
+
+    def features(self, texts: list[str | None], packers: list | None = None) -> np.ndarray:
+        """The normalised difference, the log of the length, and their product."""
+        good, bad = packers or self.packers()
         out = np.empty((len(texts), 3))
         for k, text in enumerate(texts):
             body = (text or "").encode("utf-8", "surrogatepass")
-            good, bad, plain = (len(p.compress(body)) for p in packer)
-            n = max(1, len(body))
-            out[k] = (bad - good) / n, plain / n, np.log1p(len(body))
-        return np.column_stack([out, out[:, 0] * out[:, 2], out[:, 0] * out[:, 1], out[:, 1] * out[:, 2], out[:, 1] ** 2])
+            d, size = (len(bad.compress(body)) - len(good.compress(body))) / max(1, len(body)), np.log1p(len(body))
+            out[k] = d, size, d * size
+        return out
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
+    def score(self, texts: list[str | None], packers: list | None = None) -> np.ndarray:
         if not self.good:
             return np.full(len(texts), self.share)
-        x = (self.features(texts) - self.centre) / self.scale
+        x = (self.features(texts, packers) - self.centre) / self.scale
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[1:] + self.weights[0], -30, 30)))
 
 
@@ -77,42 +82,44 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -
     return b
 
 
-def _sample(docs: DataFrame, labels: DataFrame, mod: int, held: int) -> tuple[dict[int, int], list[tuple[int, bytes]]]:
-    """How many ids of each label there are, and (label, text) of the sample in the order of a hash."""
-    ids = labels.where(learns("doc_id", mod, held)).where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("high")).where("quality = high")
-    counts = {r["quality"]: r["count"] for r in ids.groupBy("quality").count().collect()}
-    chosen = [ids.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICTIONARY_DOCS + CALIBRATION_DOCS) for q in (0, 1)]
-    few = F.broadcast(chosen[0].unionByName(chosen[1]).select("doc_id", "quality"))
-    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(few, "doc_id").where("text is not null").select("quality", "text", F.xxhash64("doc_id").alias("h"))
-    out, size = [], 0
-    for r in sorted(found.withColumn("size", F.octet_length("text")).select("quality", "h", "text").toLocalIterator(), key=lambda r: (r["h"], r["text"])):
-        body = r["text"].encode("utf-8", "surrogatepass")
-        if size + len(body) <= SAMPLE_BYTES:
-            out.append((r["quality"], body))
-            size += len(body)
-    return counts, out
-
-
 def fit(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0) -> Model:
     """docs(doc_id, text), labels(doc_id, quality); rows whose crc32 of the id, mod `mod`, is `held` teach nothing."""
-    import zstandard
-
-    counts, sample = _sample(docs, labels, mod, held)
-    share = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
-    by = {q: [body for label, body in sample if label == q] for q in (0, 1)}
-    half = {q: min(DICTIONARY_DOCS, len(x) // 2) for q, x in by.items()}
-    if min(half.values()) < 1:
+    spark = docs.sparkSession
+    ids = labels.where(learns("doc_id", mod, held)).where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.max("quality").alias("high")).where("quality = high").select("doc_id", "quality")
+    counts = {r["quality"]: r["count"] for r in ids.groupBy("quality").count().collect()}
+    share = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
+    hashed = F.xxhash64(F.col("doc_id").cast("string"))
+    chosen = []
+    for q in (0, 1):  # of the ids that have a text
+        rows = ids.where(F.col("quality") == q).join(texts.select("doc_id"), "doc_id", "left_semi").orderBy(hashed, "doc_id").limit(SAMPLE_DOCS).collect()
+        chosen += [(r["doc_id"], q, k % 2) for k, r in enumerate(rows)]
+        if len(rows) < 2:
+            return Model(b"", b"", [], [], [], share)
+    few = F.broadcast(spark.createDataFrame(chosen, f"doc_id {dict(labels.dtypes)['doc_id']}, quality int, half int"))
+    found = texts.join(few, "doc_id")
+    at = F.pmod(hashed, F.greatest(F.lit(1), F.length("text") - PIECE + 1)).cast("int") + 1
+    pieces = [(r["quality"], r["half"], r["piece"].encode("utf-8", "surrogatepass")) for r in found.select("quality", "half", F.substr("text", at, F.lit(PIECE)).alias("piece"), hashed.alias("h")).orderBy("h", "piece").collect()]
+
+    def dictionaries(halves: tuple[int, ...]) -> Model:
+        bodies = [b" ".join(x for label, half, x in pieces if label == q and half in halves) for q in (1, 0)]
+        size = min(DICTIONARY_BYTES, *map(len, bodies))
+        return Model(bodies[0][:size], bodies[1][:size], [], [], [], share)
+
+    other = [dictionaries((1,)), dictionaries((0,))]
+
+    if not all(x.good for x in other):  # nothing but empty texts in a half
         return Model(b"", b"", [], [], [], share)
 
-    def dictionary(bodies: list[bytes]) -> bytes:
-        try:
-            return zstandard.train_dictionary(DICTIONARY_BYTES, bodies).as_bytes()
-        except zstandard.ZstdError:  # too few samples for its trainer: the texts themselves serve as the dictionary
-            return b" ".join(bodies)[-DICTIONARY_BYTES:]
+    def measured(half: int) -> DataFrame:
+        def make():
+            packers = other[half].packers()
+            return lambda texts: dict(zip("dlp", other[half].features(texts, packers).T, strict=True))
+
+        return from_texts(found.where(F.col("half") == half).select("quality", F.col("text").alias("__text")), make, {"d": "double", "l": "double", "p": "double"})
 
-    model = Model(dictionary(by[1][: half[1]]), dictionary(by[0][: half[0]]), [], [], [], share)
-    rest = [(q, body.decode("utf-8", "surrogatepass")) for q in (0, 1) for body in by[q][half[q] :]]
-    x, y = model.features([t for _, t in rest]), np.array([q for q, _ in rest])
+    model, data = dictionaries((0, 1)), np.array(sorted(tuple(r) for r in measured(0).unionByName(measured(1)).collect()))
+    y, x = data[:, 0], data[:, 1:]
     centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     w = np.where(y == 1, share / max(1, (y == 1).sum()), (1 - share) / max(1, (y == 0).sum())) * len(y)
     model.centre, model.scale = centre.tolist(), scale.tolist()
@@ -124,14 +131,16 @@ def scored(docs: DataFrame, model: Model, columns: list[str], threshold: float =
     """The given columns with score and predicted."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            score = shipped.value.score(pdf["__text"].tolist())
-            yield pdf.drop(columns="__text").assign(score=score, predicted=(score >= threshold).astype("int32"))
+    def make():
+        packers = shipped.value.packers() if shipped.value.good else None
+
+        def work(texts: list[str | None]) -> dict:
+            score = shipped.value.score(texts, packers)
+            return {"score": score, "predicted": (score >= threshold).astype("int32")}
+
+        return work
 
-    rows = docs.select(*columns, F.col("text").cast("string").alias("__text"))
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.select(*columns).dtypes)
-    return rows.mapInPandas(run, f"{schema}, score double, predicted int")
+    return from_texts(docs.select(*columns, F.col("text").cast("string").alias("__text")), make, {"score": "double", "predicted": "int"})
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
