@@ -5,10 +5,11 @@ round-robin over the queues: a queue gains its target share of the window as cre
 carries the rest (its deficit) to the next window; tokens that no credit covers go to the queues with the largest
 deficits, one each. A queue that runs dry leaves its share to the others.
 
-The same rule deals at two levels. The driver deals the sources' totals to blocks of windows (a few numbers for each
-source and block), carrying deficits from block to block; each block is then dealt to windows by one task, which starts
-from the shares of its block. So deficits cross windows and partitions, no task holds more than a block, and a hot source
-is spread over all blocks. Only the last window of all can be short.
+The same rule deals at three levels, each with deficits carried from round to round. The driver deals the sources' totals to
+tracts of TRACT_BLOCKS blocks (a number for each source and tract of 4 G tokens, which is broadcast); a task that cuts texts
+deals a tract to its blocks when it comes to it, from the tract's totals; and each block is dealt to windows by one task. All
+sizes are fixed, so a task holds a block (2 MB of ids) however large the input is. Deficits cross windows and partitions, and
+a hot source is spread over all blocks. Only the last window of all can be short.
 
 Documents are cut where a queue's turn ends. Positions in a queue come from running counts within each task and sums over
 tasks, not from a global sort.
@@ -34,9 +35,9 @@ from plumbline.llm.tokens import Tokens
 
 LENGTH = 2048
 END_ID = 1
-#: Windows of a block; a block's ids are held by one task (2 MB at 512 windows). Larger inputs get larger blocks, so that there are at most MAX_BLOCKS.
+#: Windows of a block, which one task holds, and blocks of a tract.
 BLOCK_WINDOWS = 512
-MAX_BLOCKS = 20_000
+TRACT_BLOCKS = 4096
 
 
 def deal(totals: np.ndarray, weights: np.ndarray, size: int, rounds: int) -> np.ndarray:
@@ -85,28 +86,43 @@ def _tokenise(path: str | None, end_id: int):
     return run
 
 
-def _cut(bounds: np.ndarray, names: dict[str, int]):
-    """bounds: for each source the tokens before each block. A row of a document becomes one for each block that it reaches."""
+def _before(rounds: np.ndarray) -> np.ndarray:
+    """For each queue (rows) the tokens before each round, and after the last."""
+    return np.concatenate([np.zeros((rounds.shape[1], 1), np.int64), np.cumsum(rounds, axis=0).T], axis=1)
+
+
+def _cut(shipped, block: int, per: int):
+    """shipped: the sources' numbers and the tokens of each source in each tract. A row of a document becomes one for each block that it reaches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, tracts = shipped.value
+        edges, dealt = _before(tracts), {}
+
+        def blocks(t: int) -> np.ndarray:
+            if t not in dealt:
+                if len(dealt) >= 8 + 2 * len(names):
+                    dealt.clear()
+                n = tracts[t]
+                dealt[t] = _before(deal(n, n / n.sum(), block, -(-int(n.sum()) // block))) + edges[:, t : t + 1]
+            return dealt[t]
+
         for pdf in batches:
             out = []
             for i, source, at, n, ids in zip(pdf["id"], pdf["source"], pdf["at"], pdf["n"], pdf["ids"], strict=True):
-                s = names[source]
-                edges = bounds[s]
-                b, end, done = int(np.searchsorted(edges, at, "right")) - 1, at + n, 0
+                s, done = names[source], 0
                 while done < n:
-                    while edges[b + 1] <= at + done:
-                        b += 1
-                    stop = min(end, int(edges[b + 1])) - at
-                    out.append((b, s, at + done, i, done, stop - done, n, ids[2 * done : 2 * stop]))
+                    t = int(np.searchsorted(edges[s], at + done, "right")) - 1
+                    inner = blocks(t)[s]
+                    b = int(np.searchsorted(inner, at + done, "right")) - 1
+                    stop = min(n, int(inner[b + 1]) - at)
+                    out.append((t * per + b, s, at + done, i, done, stop - done, n, ids[2 * done : 2 * stop]))
                     done = stop
             yield pd.DataFrame(out, columns=["block", "s", "at", "id", "start", "length", "n", "ids"])
 
     return run
 
 
-def _fill(length: int, windows: int, schema_id: str):
+def _fill(length: int, windows: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["s", "at"], kind="stable")
         block = int(pdf["block"].iloc[0])
@@ -142,20 +158,20 @@ def packed(docs: DataFrame, length: int = LENGTH, mixture: dict[str, float] | No
     """Pieces of docs(id, text, source): id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source_id.
     mixture: target weights of the sources; without it each source weighs as much as it has tokens, so that all queues end together."""
     kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("id"), F.col("text").cast("string").alias("text"), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")).alias("source"))
-    tok = written(rows.mapInPandas(_tokenise(tokenizer, end_id), f"part int, id {kind}, source string, at long, n long, ids binary"), "tokens")
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col("text").cast("string").alias("text"), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")).alias("source"))
+    tok = written(rows.mapInPandas(_tokenise(tokenizer, end_id), "part int, id string, source string, at long, n long, ids binary"), "tokens")
     sums = written(tok.groupBy("source", "part").agg(F.sum("n").alias("n")).select("source", "part", (F.sum("n").over(W.partitionBy("source").orderBy("part")) - F.col("n")).alias("base"), "n"), "sums")
     totals = sums.groupBy("source").agg(F.sum("n").alias("n")).orderBy("source").collect()
     names = {r["source"]: k for k, r in enumerate(totals)}
     n = np.array([r["n"] for r in totals], np.int64)
     weights = np.array([mixture.get(s[1:], 0.0) for s in names]) if mixture else n / max(1, n.sum())
-    windows = max(BLOCK_WINDOWS, -(-int(n.sum()) // (length * MAX_BLOCKS)))
-    dealt = deal(n, weights, windows * length, -(-int(n.sum()) // (windows * length)))
-    bounds = np.concatenate([np.zeros((len(n), 1), np.int64), np.cumsum(dealt, axis=0).T], axis=1)
+    block = BLOCK_WINDOWS * length
+    tracts = deal(n, weights, TRACT_BLOCKS * block, -(-int(n.sum()) // (TRACT_BLOCKS * block)))
+    shipped = docs.sparkSession.sparkContext.broadcast((names, tracts))
     placed = tok.join(maybe_broadcast(sums.select("source", "part", "base"), sums.count()), ["source", "part"]).select("id", "source", (F.col("at") + F.col("base")).alias("at"), "n", "ids")
-    pieces = placed.mapInPandas(_cut(bounds, names), f"block int, s int, at long, id {kind}, start long, length long, n long, ids binary")
-    out = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source int"
-    return pieces.groupBy("block").applyInPandas(_fill(length, windows, kind), out).withColumnsRenamed({"id": id_col, "source": "source_id"})
+    pieces = placed.mapInPandas(_cut(shipped, block, TRACT_BLOCKS), "block long, s int, at long, id string, start long, length long, n long, ids binary")
+    out = "id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source int"
+    return pieces.groupBy("block").applyInPandas(_fill(length, BLOCK_WINDOWS), out).withColumn("id", F.col("id").cast(kind)).withColumnsRenamed({"id": id_col, "source": "source_id"})
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
