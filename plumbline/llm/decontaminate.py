@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import LOWER, UPPER, table
+from plumbline.llm._common import LOWER, UPPER, from_texts, table, written
 
 WINDOW = 13
 #: Windows of one pass: about 100 bytes of text each.
@@ -83,13 +83,14 @@ def _automata(patterns: list[tuple[bytes, ...]]) -> list[WuManber]:
 
 
 def _searcher(patterns: list[tuple[bytes, ...]], owners: list[list[str]]):
-    """owners: the items of each pattern. Rows out: id, n_words, the hit words as sorted runs, the items."""
+    """owners: the items of each pattern. Out: n_words, the hit words as sorted runs, the items."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         automata = _automata(patterns)
-        for pdf in batches:
+
+        def work(texts: list[str | None]) -> dict:
             counts, starts, ends, items = [], [], [], []
-            for text in pdf["text"]:
+            for text in texts:
                 words = words_of(text)
                 spans, whose = [], set()
                 for a in automata:
@@ -106,9 +107,11 @@ def _searcher(patterns: list[tuple[bytes, ...]], owners: list[list[str]]):
                 starts.append([s for s, _ in merged])
                 ends.append([e for _, e in merged])
                 items.append(sorted(whose))
-            yield pd.DataFrame({"row": pdf["row"], "id": pdf["id"], "n_words": counts, "starts": starts, "ends": ends, "items": items})
+            return {"n_words": counts, "starts": starts, "ends": ends, "items": items}
+
+        return work
 
-    return run
+    return make
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[tuple[list, list]]:
@@ -128,20 +131,22 @@ def _blocks(benchmark: DataFrame) -> Iterator[tuple[list, list]]:
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: row (its number in this run), id, n_words, starts and ends of the hit runs of words, and the items that occur."""
-    kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = f"row long, id {kind}, n_words long, starts array<int>, ends array<int>, items array<string>"
-    passes = [rows.mapInPandas(_searcher(*block), schema) for block in _blocks(benchmark)]
-    if len(passes) == 1:
-        return passes[0]
-    out = passes[0]
-    for more in passes[1:]:
-        out = out.unionByName(more)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("__text"))
+    fields = {"n_words": "long", "starts": "array<int>", "ends": "array<int>", "items": "array<string>"}
+    blocks = _blocks(benchmark)
+    block, after = next(blocks), next(blocks, None)
+    if after is None:
+        return from_texts(rows, _searcher(*block), fields)
+    rows, out = written(rows, "numbered-texts"), None  # one numbering for all passes; each is done before the next block is made
+    while block:
+        one = written(from_texts(rows, _searcher(*block), fields), "pass")
+        out, block, after = one if out is None else out.unionByName(one), after, next(blocks, None)
     flat = out.groupBy("row").agg(
-        F.first("id").alias("id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("starts"),
+        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("starts"),
         F.flatten(F.collect_list("ends")).alias("ends"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
-    return flat.mapInPandas(_merge, schema)
+    merged = flat.mapInPandas(_merge, "row long, n_words long, starts array<int>, ends array<int>, items array<string>")
+    return rows.select("row", "id").join(merged, "row")
 
 
 def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
