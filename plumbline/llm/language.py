@@ -6,9 +6,10 @@ The set of languages is then selected by penalised likelihood: along the order o
 as long as the log-likelihood gains more than the penalty of a parameter.
 
 Training sums trigram counts by task and then by language and trigram; prediction is one scan without a shuffle. What is
-sent to the tasks has a bound: BUCKETS numbers for each of at most MAX_LANGUAGES languages (those with the most text).
+sent to the tasks are BUCKETS numbers (128 KB) for each language that rows are labelled with, however many rows there are; only
+the penalty ends the selection.
 
-Defined cases: a null text and one without a letter are `und` with score 0; texts shorter than a trigram are padded with
+Defined cases: a null text and one without a letter (Unicode category L) are `und` with score 0; texts shorter than a trigram are padded with
 spaces; rows with null lang or id teach nothing; without rows to learn from all are `und`; rows repeat as they are; other
 columns are never read.
 """
@@ -23,16 +24,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import learns, table
+from plumbline.llm._common import from_texts, learns, table
 
 BUCKETS = 1 << 15
-MAX_LANGUAGES = 256
 STEPS = 8
 #: Log-likelihood that another language must gain, times the log of the number of trigrams; overlapping trigrams count a third.
 PENALTY = 1.5
-#: Distinct trigrams of a batch that are worked on at once, and below which share a language is left out of the search.
-TOGETHER, LEAST = 400_000, 0.01
-_LETTER = re.compile(r"[^\W\d_]")
+#: Likelihoods (distinct trigrams times languages) of a batch that are worked on at once.
+TOGETHER = 1_600_000
+_ASCII_LETTER = re.compile("[A-Za-z]")
+
+
+def has_letter(text: str) -> bool:
+    return _ASCII_LETTER.search(text) is not None or any(map(str.isalpha, text))
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -62,8 +66,8 @@ def fit(docs: DataFrame, mod: int = 4, held: int = 2) -> tuple[list[str], np.nda
     rows = docs.where(learns("doc_id", mod, held)).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
     counted = rows.mapInPandas(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     by: dict[str, np.ndarray] = {}
-    packed = counted.groupBy("lang").agg(F.sum("n").alias("total"), F.collect_list("bucket").alias("at"), F.collect_list("n").alias("n"))  # BUCKETS entries at most
-    for r in packed.orderBy(F.desc("total"), "lang").limit(MAX_LANGUAGES).collect():
+    packed = counted.groupBy("lang").agg(F.collect_list("bucket").alias("at"), F.collect_list("n").alias("n"))  # BUCKETS entries at most
+    for r in packed.collect():
         by[r["lang"]] = np.zeros(BUCKETS)
         by[r["lang"]][r["at"]] = r["n"]
     langs = sorted(by)
@@ -105,7 +109,6 @@ def mixtures(texts: list[str], probs: np.ndarray) -> np.ndarray:
         best = np.add.reduceat(c * np.log((chosen[owner] * p).sum(axis=1)), first)
         open_ = np.ones(len(sizes), bool)
         for m in range(2, k + 1):
-            open_ &= pi[rows, order[:, m - 1]] >= LEAST
             which = np.flatnonzero(open_)
             if not len(which):
                 break
@@ -129,7 +132,7 @@ def mixtures(texts: list[str], probs: np.ndarray) -> np.ndarray:
         where = np.flatnonzero(n)
         at.append(where), counts.append(n[where]), lengths.append(len(where))
         held += len(where)
-        if held >= TOGETHER:
+        if held * probs.shape[1] >= TOGETHER:
             work()
             held = 0
     if lengths:
@@ -141,22 +144,22 @@ def identified(docs: DataFrame, langs: list[str], probs: np.ndarray, columns: li
     """The given columns with lang_pred, score (the proportion of that language) and mixture (the selected languages' proportions)."""
     shipped = docs.sparkSession.sparkContext.broadcast((langs, probs))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         names, p = shipped.value
-        for pdf in batches:
-            texts = pdf["__text"].tolist()
-            some = [k for k, t in enumerate(texts) if names and t and _LETTER.search(t)]
+
+        def work(texts: list[str | None]) -> dict:
+            some = [k for k, t in enumerate(texts) if names and t and has_letter(t)]
             pi = mixtures([texts[k] for k in some], p) if some else np.zeros((0, 1))
-            pred, score, mixed = ["und"] * len(texts), np.zeros(len(texts)), [{} for _ in texts]
+            pred, score, mixed = ["und"] * len(texts), [0.0] * len(texts), [{} for _ in texts]
             for k, row in zip(some, pi, strict=True):
                 best = int(row.argmax())
                 pred[k], score[k] = names[best], min(1.0, float(row[best]))
                 mixed[k] = {names[j]: round(float(row[j]), 6) for j in np.flatnonzero(row)}
-            yield pdf.drop(columns="__text").assign(lang_pred=pred, score=score, mixture=mixed)
+            return {"lang_pred": pred, "score": score, "mixture": [list(x.items()) for x in mixed]}
+
+        return work
 
-    rows = docs.select(*columns, F.col("text").cast("string").alias("__text"))
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.select(*columns).dtypes)
-    return rows.mapInPandas(run, f"{schema}, lang_pred string, score double, mixture map<string,double>")
+    return from_texts(docs.select(*columns, F.col("text").cast("string").alias("__text")), make, {"lang_pred": "string", "score": "double", "mixture": "map<string,double>"})
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
