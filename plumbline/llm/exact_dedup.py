@@ -1,12 +1,12 @@
 """Exact dedup by an exchange of Golomb-coded fingerprints.
 
-1. One scan normalises each text and takes its SHA-256; each task keeps the first 64 bits of each as fingerprints,
-   and at its end sends every owner (a range of the fingerprint space) its sorted distinct fingerprints as Golomb-Rice
-   coded gaps, with a bitmap of those that the task itself met more than once.
-2. Owners decode what they get and answer each task with a bitmap: which of its fingerprints occur elsewhere too.
-3. Tasks' rows and the answers meet again by task; rows whose bit is set are suspects.
+1. One scan normalises each text and takes its SHA-256, whose first 64 bits are its fingerprint; each chunk of a task's
+   rows sends every owner (a range of the fingerprint space) its sorted distinct fingerprints as Golomb-Rice
+   coded gaps, with a bitmap of those that the chunk itself met more than once.
+2. Owners decode what they get and answer each chunk with a bitmap: which of its fingerprints occur elsewhere too.
+3. Chunks' rows and the answers meet again by chunk; rows whose bit is set are suspects.
 4. Only suspects' texts are shuffled: equal texts of a task collapse to one representative first, then the
-   representatives of a fingerprint are compared byte by byte.
+   representatives of a SHA-256 are compared byte by byte.
 
 Text rows without a partner never leave their task. A group of copies sends one representative for each task, however
 many rows it has.
@@ -34,6 +34,8 @@ _SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 _MANY = re.compile(b"  +")
 #: Bytes of distinct normalised text a task holds before it passes its representatives on.
 HELD_BYTES = 64 << 20
+#: Documents of a chunk; their digests meet in one task.
+CHUNK_ROWS = 200_000
 
 
 def normalised(text: str | None) -> bytes:
@@ -72,30 +74,34 @@ def golomb_decode(payload: bytes, n: int) -> np.ndarray:
     return np.cumsum((high << np.uint64(k)) | low, dtype=np.uint64)
 
 
-def _scan(owners: int, id_type: str):
+def _scan(owners: int):
+    """Rows of kind 0: a document each; of kind 1: what a chunk of CHUNK_ROWS documents sends to an owner."""
     step = np.uint64((1 << 64) // owners + 1)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, seen = uuid.uuid4().hex, []
-        for pdf in batches:
-            digests = [hashlib.sha256(normalised(x)).digest() for x in pdf["text"]]
-            prints = np.frombuffer(b"".join(x[:8] for x in digests), ">u8").astype(np.uint64)
-            seen.append(prints)
-            yield pd.DataFrame({"kind": 0, "task": task, "id": pdf["id"].astype("Int64" if id_type == "bigint" else object), "sha": digests, "owner": 0, "n": 0, "gaps": None, "own": None})
-        if not seen:
-            return
+    def sent(chunk: str, seen: list[np.ndarray]) -> pd.DataFrame:
         prints, counts = np.unique(np.concatenate(seen), return_counts=True)
         edges = np.searchsorted(prints, np.arange(owners + 1, dtype=np.uint64) * step) if owners > 1 else np.array([0, len(prints)])
         edges[-1] = len(prints)
         out = [(o, a, b) for o, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
-        yield pd.DataFrame(
+        return pd.DataFrame(
             {
-                "kind": 1, "task": task, "id": pd.Series([None] * len(out), dtype="Int64" if id_type == "bigint" else object), "sha": None,
-                "owner": [o for o, _, _ in out], "n": [int(b - a) for _, a, b in out], "gaps": [golomb_encode(prints[a:b]) for _, a, b in out],
-                "own": [np.packbits(counts[a:b] > 1).tobytes() for _, a, b in out],
+                "kind": 1, "task": chunk, "id": None, "sha": None, "owner": [o for o, _, _ in out], "n": [int(b - a) for _, a, b in out],
+                "gaps": [golomb_encode(prints[a:b]) for _, a, b in out], "own": [np.packbits(counts[a:b] > 1).tobytes() for _, a, b in out],
             }
         )
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunk, seen = uuid.uuid4().hex, []
+        for pdf in batches:
+            digests = [hashlib.sha256(normalised(x)).digest() for x in pdf["text"]]
+            seen.append(np.frombuffer(b"".join(x[:8] for x in digests), ">u8").astype(np.uint64))
+            yield pd.DataFrame({"kind": 0, "task": chunk, "id": pdf["id"], "sha": digests, "owner": 0, "n": 0, "gaps": None, "own": None})
+            if sum(map(len, seen)) >= CHUNK_ROWS:
+                yield sent(chunk, seen)
+                chunk, seen = uuid.uuid4().hex, []
+        if seen:
+            yield sent(chunk, seen)
+
     return run
 
 
@@ -119,54 +125,68 @@ def _mark(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": rows["id"], "sha": rows["sha"], "suspect": bits[at].astype(bool)})
 
 
-def _collapse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Equal suspect texts of a task become one row: the digest, the smallest id, how many, and the bytes."""
-    held: dict[bytes, list] = {}
-    size = 0
-
-    def flush() -> pd.DataFrame:
-        return pd.DataFrame({"sha": list(held), "id": pd.Series([x[0] for x in held.values()], dtype=object), "n": [x[1] for x in held.values()], "body": [x[2] for x in held.values()]})
-
-    for pdf in batches:
-        for i, text in zip(pdf["id"], pdf["text"], strict=True):
-            body = normalised(text)
-            i = None if pd.isna(i) else i
-            got = held.get(key := hashlib.sha256(body).digest())
-            if got is None:
-                held[key] = [i, 1, body]
-                size += len(body)
-            else:
-                if got[2] != body:
-                    raise ValueError("two texts share a SHA-256")
-                got[0], got[1] = (i if got[0] is None or i is not None and i < got[0] else got[0]), got[1] + 1
-        if size > HELD_BYTES:
-            yield flush()
-            held, size = {}, 0
-    if held:
-        yield flush()
-
-
-def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _lesser(a, b):
+    """The smaller id; None comes after all others."""
+    return b if a is None or b is not None and b < a else a
+
+
+def _collapse(read):
+    """Equal suspect texts of a task become one row: the digest, the smallest id, how many, and the bytes. read: ids from text."""
+
+    def flush(held: dict[bytes, list]) -> pd.DataFrame:
+        return pd.DataFrame({"sha": list(held), "id": [None if x[0] is None else str(x[0]) for x in held.values()], "n": [x[1] for x in held.values()], "body": [x[2] for x in held.values()]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[bytes, list] = {}
+        size = 0
+        for pdf in batches:
+            for i, text in zip(pdf["id"], pdf["text"], strict=True):
+                body, i = normalised(text), None if i is None else read(i)
+                got = held.get(key := hashlib.sha256(body).digest())
+                if got is None:
+                    held[key] = [i, 1, body]
+                    size += len(body)
+                else:
+                    if got[2] != body:
+                        raise ValueError("two texts share a SHA-256")
+                    got[0], got[1] = _lesser(got[0], i), got[1] + 1
+            if size > HELD_BYTES:
+                yield flush(held)
+                held, size = {}, 0
+        if held:
+            yield flush(held)
+
+    return run
+
+
+def _verify(read):
     """Representatives come sorted by digest; each is compared with the first of its digest. One text is held at a time."""
-    sha, body, low, n = None, None, None, 0
-    out: list[tuple] = []
-    for pdf in batches:
-        for s, i, k, b in zip(pdf["sha"], pdf["id"], pdf["n"], pdf["body"], strict=True):
-            i = None if pd.isna(i) else i
-            if s == sha:
-                if b != body:
-                    raise ValueError("two texts share a SHA-256")
-                low, n = (i if low is None or i is not None and i < low else low), n + k
-            else:
-                if sha is not None:
-                    out.append((sha, low, n))
-                sha, body, low, n = s, b, i, k
-        if len(out) > 10_000:
-            yield pd.DataFrame(out, columns=["sha", "keep_id", "group_size"]).astype({"keep_id": object})
-            out = []
-    if sha is not None:
-        out.append((sha, low, n))
-    yield pd.DataFrame(out, columns=["sha", "keep_id", "group_size"]).astype({"keep_id": object})
+
+    def frame(out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(s, None if i is None else str(i), n) for s, i, n in out], columns=["sha", "keep_id", "group_size"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sha, body, low, n = None, None, None, 0
+        out: list[tuple] = []
+        for pdf in batches:
+            for s, i, k, b in zip(pdf["sha"], pdf["id"], pdf["n"], pdf["body"], strict=True):
+                i = None if i is None else read(i)
+                if s == sha:
+                    if b != body:
+                        raise ValueError("two texts share a SHA-256")
+                    low, n = _lesser(low, i), n + k
+                else:
+                    if sha is not None:
+                        out.append((sha, low, n))
+                    sha, body, low, n = s, b, i, k
+            if len(out) > 10_000:
+                yield frame(out)
+                out = []
+        if sha is not None:
+            out.append((sha, low, n))
+        yield frame(out)
+
+    return run
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owners: int | None = None) -> DataFrame:
@@ -176,14 +196,16 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kind = "bigint" if kind in ("tinyint", "smallint", "int", "bigint") else "string"
     rows = docs.select(F.col(id_col).cast(kind).alias("id"), F.col(text_col).cast("string").alias("text"))
     owners = owners or max(64, partitions(spark))
-    scan = written(rows.mapInPandas(_scan(owners, kind), f"kind int, task string, id {kind}, sha binary, owner int, n int, gaps binary, own binary"), "prints")
+    text_id = F.col("id").cast("string")  # pandas would turn a batch's integers with a null into floats
+    read = int if kind == "bigint" else str
+    scan = written(rows.withColumn("id", text_id).mapInPandas(_scan(owners), f"kind int, task string, id string, sha binary, owner int, n int, gaps binary, own binary"), "prints")
     hashes = scan.where("kind = 0").select("task", "id", "sha")
     answers = scan.where("kind = 1").select("owner", "task", "n", "gaps", "own").groupBy("owner").applyInPandas(_answer, "task string, owner int, n int, bits binary")
-    marked = written(hashes.groupBy("task").cogroup(answers.groupBy("task")).applyInPandas(_mark, f"id {kind}, sha binary, suspect boolean"), "marked")
+    marked = written(hashes.groupBy("task").cogroup(answers.groupBy("task")).applyInPandas(_mark, "id string, sha binary, suspect boolean").withColumn("id", F.col("id").cast(kind)), "marked")
     suspects = marked.where("suspect").select("id").distinct()
     n = suspects.count()
-    same = rows.alias("r").join(maybe_broadcast(suspects, n).alias("s"), F.expr("r.id <=> s.id"), "left_semi").mapInPandas(_collapse, f"sha binary, id {kind}, n long, body binary")
-    groups = same.repartition("sha").sortWithinPartitions("sha").mapInPandas(_verify, f"sha binary, keep_id {kind}, group_size long").where("group_size > 1")
+    same = rows.alias("r").join(maybe_broadcast(suspects, n).alias("s"), F.expr("r.id <=> s.id"), "left_semi").withColumn("id", text_id).mapInPandas(_collapse(read), "sha binary, id string, n long, body binary")
+    groups = same.repartition("sha").sortWithinPartitions("sha").mapInPandas(_verify(read), "sha binary, keep_id string, group_size long").where("group_size > 1").withColumn("keep_id", F.col("keep_id").cast(kind))
     groups = written(groups, "groups")
     sure = maybe_broadcast(groups, groups.count()) if n <= BROADCAST_ROWS else groups
     dup = marked.where("suspect").join(sure, "sha", "left")
