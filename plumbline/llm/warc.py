@@ -1,10 +1,12 @@
 """Deterministic sharded WARC writer and reader.
 
-Rows are sorted by id over ranges, and each range is written by one task as gzip members of one record each. A task rolls
-to the next file when the compressed size passes a limit. Headers and digests are made anew from id, url and payload, so
-the same rows give the same bytes. Files are written under temporary names; when all tasks have succeeded the driver
-renames the files named by the rows that came back, one row a file, and writes the manifest last. What a lost or
-repeated task attempt left has no row and is removed. A folder without manifest isn't an archive.
+Rows are sorted by id and payload digest over ranges, and each range is written by one task as gzip members of one record each.
+The ranges' bounds are quantiles of the rows whose hash is 0 modulo a number that their count and the number of shards give, so
+they depend on the rows alone, and equal ids with different payloads may fall in several ranges. A range rolls to the next file
+when the compressed size passes a limit. Headers and digests are made anew from id, url and payload, so the same rows give
+the same files. Files are written under temporary names, and their names come back as a table, one row a file; when all
+tasks have succeeded, tasks rename the files of that table (a repeated attempt finds them renamed), and the manifest is
+written last. What a lost or repeated task attempt left has no row and is removed. A folder without manifest isn't an archive.
 
 Payloads that occur more than once are written once: the row with the smallest id is a response, the others revisit it.
 
@@ -23,17 +25,19 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
+import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import partitions, shared_path, table
+from plumbline.llm._common import partitions, shared_path, table, written
 
 #: Compressed bytes after which a file is closed.
 ROLL_BYTES = 64 << 20
 #: Payloads shorter than this are always responses.
 MIN_REVISIT_BYTES = 0
+#: Rows a shard from which the ranges' bounds are taken.
+SAMPLE = 50
 DATE = "2000-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -74,8 +78,8 @@ def _gzip(data: bytes) -> bytes:
 def _writer(folder: str, roll: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = _fs(folder)
-        part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
-        out, rows, info, marks = None, [], {}, (None, {})
+        part, attempt = None, uuid.uuid4().hex
+        out, rows, info, marks, files = None, [], {}, (None, {}), 0
 
         def close() -> None:
             nonlocal out
@@ -85,15 +89,18 @@ def _writer(folder: str, roll: int):
                 out = None
 
         for pdf in batches:
-            for kind, page_id, url, html, sha, refers in zip(pdf["kind"], pdf["page_id"], pdf["url"], pdf["html"], pdf["sha"], pdf["refers_to"], strict=True):
-                page_id = None if pd.isna(page_id) else int(page_id)
+            for at, kind, page_id, url, html, sha, refers in zip(*(pdf[c] for c in ("range", "kind", "page_id", "url", "html", "sha", "refers_to")), strict=True):
+                page_id = None if page_id is None else int(page_id)
+                if at != part:
+                    close()
+                    part, files = at, 0
                 if kind == 0:
                     marks = (page_id, (marks[1] if marks[0] == page_id else {}) | {sha: int(refers)})
                     continue
                 payload = html.encode("utf-8", "surrogatepass")
-                refers = marks[1].get(hashlib.sha256(payload).hexdigest()) if page_id is not None and marks[0] == page_id else None
+                refers = marks[1].get(sha) if page_id is not None and marks[0] == page_id else None
                 if out is None:
-                    final = f"part-{part:06d}-{len(rows):05d}.warc.gz"
+                    final, files = f"part-{part:06d}-{files:05d}.warc.gz", files + 1
                     info = {"temp": f".tmp-{attempt}-{final}", "name": final, "records": 0, "bytes": 0, "sha256": hashlib.sha256()}
                     fs.create_dir(base, recursive=True)
                     out = fs.open_output_stream(f"{base}/{info['temp']}", compression=None)
@@ -110,34 +117,77 @@ def _writer(folder: str, roll: int):
     return run
 
 
-def revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """page_id, sha, refers_to of the rows of pages(page_id, html) whose payload a smaller id has too. Only digests are
-    shuffled, summed up by each task first."""
-    digest = F.sha2(F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8"), 256)
-    long_enough = F.octet_length(F.coalesce(F.col("html").cast("string"), F.lit(""))) >= min_bytes
-    ids = pages.where("page_id is not null").where(long_enough).select("page_id", digest.alias("sha"))
+def _digests(pages: DataFrame) -> DataFrame:
+    """page_id, sha and size of each payload of pages(page_id, html)."""
+    body = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
+    return pages.select("page_id", F.sha2(body, 256).alias("sha"), F.octet_length(body).alias("size"))
+
+
+def revisits(digests: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
+    """page_id, sha, refers_to of the rows of digests(page_id, sha, size) whose payload a smaller id has too. They are summed up
+    by each task before they are shuffled."""
+    ids = digests.where("page_id is not null").where(F.col("size") >= min_bytes).select("page_id", "sha")
     groups = ids.groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").select("sha", "refers_to")
     return ids.join(groups, "sha").where("page_id <> refers_to").select("page_id", "sha", "refers_to").distinct()
 
 
+def _keys(ids, shas) -> np.ndarray:
+    """Sixteen bytes that sort as (id, first half of the digest); null ids come first."""
+    out = np.zeros((len(ids), 2), ">u8")
+    out[:, 0] = np.asarray(ids, np.int64).astype(np.uint64) ^ np.uint64(1 << 63)
+    out[:, 1] = [int(x[:16], 16) for x in shas]
+    return np.frombuffer(out.tobytes(), "S16")
+
+
+def _range_of(digests: DataFrame, shards: int):
+    """A function of id and digest: the number of the range. Some SAMPLE rows a shard come to the driver."""
+    every = max(1, digests.count() // (SAMPLE * shards))
+    some = digests.where("page_id is not null").where(F.pmod(F.xxhash64("page_id", "sha"), F.lit(every)) == 0).select("page_id", "sha").collect()
+    keys = np.sort(_keys([x["page_id"] for x in some], [x["sha"] for x in some]))
+    bounds = np.unique(keys[np.arange(1, shards) * len(keys) // shards]) if len(keys) else keys
+
+    @F.pandas_udf("int")
+    def number(ids: pd.Series, shas: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, _keys(ids, shas), "right").astype(np.int32))
+
+    return lambda i, sha: F.when(i.isNull(), F.lit(0)).otherwise(number(F.coalesce(i.cast("long"), F.lit(-(1 << 63))), sha))
+
+
+def _rename(folder: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = _fs(folder)
+        for pdf in batches:
+            for temp, name in zip(pdf["temp"], pdf["name"], strict=True):
+                if fs.get_file_info(f"{base}/{temp}").is_file:
+                    fs.move(f"{base}/{temp}", f"{base}/{name}")
+                elif not fs.get_file_info(f"{base}/{name}").is_file:
+                    raise FileNotFoundError(f"{base}/{temp}")
+            yield pdf[["name"]]
+
+    return run
+
+
 def write_archive(pages: DataFrame, folder: str, roll: int = ROLL_BYTES, shards: int | None = None, min_bytes: int = MIN_REVISIT_BYTES) -> list[dict]:
     """Write pages(page_id, url, html) to a new folder; returns the manifest, an entry a file. Which rows revisit others
     travels as rows of its own in the range sort, so that payloads are shuffled once."""
-    spark = pages.sparkSession
-    rows = pages.select(F.lit(1).alias("kind"), "page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), F.lit(None).cast("string").alias("sha"), F.lit(None).cast("long").alias("refers_to"))
-    marks = revisits(pages, min_bytes).select(F.lit(0).alias("kind"), "page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "sha", F.col("refers_to").cast("long").alias("refers_to"))
-    ranged = rows.unionByName(marks).repartitionByRange(shards or partitions(spark), "page_id").sortWithinPartitions("page_id", "kind", "url", "html")
-    made = [r.asDict() for r in ranged.mapInPandas(_writer(folder, roll), "temp string, name string, records long, bytes long, sha256 string").collect()]
+    spark, shards = pages.sparkSession, shards or partitions(pages.sparkSession)
+    digests = written(_digests(pages), "digests")
+    number = _range_of(digests, shards)
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    rows = pages.select(F.lit(1).alias("kind"), "page_id", F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(F.encode(html, "UTF-8"), 256).alias("sha"), F.lit(None).cast("string").alias("refers_to"))
+    marks = revisits(digests, min_bytes).select(F.lit(0).alias("kind"), "page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "sha", F.col("refers_to").cast("string").alias("refers_to"))
+    ranged = rows.unionByName(marks).withColumn("range", number(F.col("page_id"), F.col("sha"))).repartitionById(shards, F.col("range")).sortWithinPartitions("range", "page_id", "sha", "kind", "url")
+    ranged = ranged.withColumn("page_id", F.col("page_id").cast("string"))  # pandas would turn a batch's integers with a null into floats
+    made = written(ranged.mapInPandas(_writer(folder, roll), "temp string, name string, records long, bytes long, sha256 string"), "files")
+    made.repartition(shards).mapInPandas(_rename(folder), "name string").count()
     fs, base = _fs(folder)
     fs.create_dir(base, recursive=True)
     from pyarrow.fs import FileSelector
 
-    for x in made:
-        fs.move(f"{base}/{x['temp']}", f"{base}/{x['name']}")
     for f in fs.get_file_info(FileSelector(base)):
         if f.base_name.startswith(".tmp-"):
             fs.delete_file(f.path)
-    manifest = sorted(({k: x[k] for k in ("name", "records", "bytes", "sha256")} for x in made), key=lambda x: x["name"])
+    manifest = [r.asDict() for r in made.select("name", "records", "bytes", "sha256").orderBy("name").collect()]
     with fs.open_output_stream(f"{base}/.tmp-manifest") as f:
         f.write(json.dumps(manifest).encode())
     fs.move(f"{base}/.tmp-manifest", f"{base}/manifest.json")
@@ -203,7 +253,7 @@ def _reader(folder: str, payloads: bool):
 
 
 def _frame(rows: list[dict]) -> pd.DataFrame:
-    return pd.DataFrame(rows).astype({"page_id": "Int64", "refers_to": "Int64"})
+    return pd.DataFrame(rows, dtype=object)
 
 
 def read_archive(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
