@@ -8,10 +8,11 @@ equal keys; neighbouring windows with one key form a context. A first exchange t
 key are done. Contexts of shared keys then go to the owner of their key, equal ones of a chunk once.
 
 Index. An owner builds over the distinct contexts, in the order of their documents, the Burrows-Wheeler transform, and
-keeps its runs with the suffix-array samples at the runs' first rows and the common prefix lengths there (the irreducible
-ones). Matching statistics are streamed from these samples along the text: within a run each is one less than that of
-the position before. Rows joined by statistics of at least `length` form the occurrences of one string; those in documents
-after the first one's are marked.
+keeps its runs with the suffix-array samples at the runs' first rows and at the rows before them (the last ones of the runs
+before), and the common prefix lengths there (the irreducible ones). The suffix array itself is dropped. Matching statistics
+are streamed from the samples along the text, with the position that each match leads to: where no run starts, the match is one
+shorter than that of the position before and leads one position further. Positions that are chained by matches of at least
+`length` are the occurrences of one string; those in documents after the first one's are marked.
 
 Marks return to the chunk, are merged for each document, and the remaining bytes are hashed. A document whose whole text
 occurs with a smaller id is marked as a whole, so that the index holds each text once.
@@ -36,7 +37,7 @@ from plumbline.llm._common import maybe_broadcast, mix, partitions, runs_of, tab
 LENGTH, GRAM = 50, 24
 #: Bytes of text of a chunk, and of the blocks in which hashes are computed.
 CHUNK, BLOCK = 12 << 20, 192 << 10
-#: Bytes of contexts that are indexed together; an index takes about 80 times that.
+#: Bytes of contexts that are indexed together, up to twice as many where they have one key; an index takes about 80 times that.
 INDEX_BYTES = 1 << 20
 END = 0xF8  # this and the seven bytes above occur in no UTF-8
 _TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -318,13 +319,12 @@ class RunLengthIndex:
         bwt[sa == 0] = -1  # nothing stands before the first text
         heads = np.ones(self.n, bool)
         heads[1:] = bwt[1:] != bwt[:-1]
-        self.rows = np.flatnonzero(heads)  # runs: first rows, symbols, samples there and before, common prefix lengths
-        self.symbols = bwt[self.rows]
-        self.samples = sa[self.rows]
-        self.before = sa[self.rows - 1]
+        rows = np.flatnonzero(heads)  # runs: samples at first rows and before, common prefix lengths
+        self.samples = sa[rows]
+        self.before = sa[rows - 1]
         self.lengths = self._common(self.samples, self.before)
         self.lengths[0] = 0
-        self.sa = sa
+        self.last = int(sa[-1])
 
     def _words(self, b: np.ndarray) -> np.ndarray:
         """The eight bytes from each position on, big-endian."""
@@ -367,16 +367,31 @@ class RunLengthIndex:
             open_ = open_[(same == 8) & (out[open_] < self.longest)]
         return np.minimum(np.minimum(out, self.longest), self.n - np.maximum(i, j))
 
-    def statistics(self) -> np.ndarray:
-        """For each position the longest match with the row before its own, streamed from the samples: one less than at
-        the position before, unless a run starts there."""
+    def _sampled(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each position the run that starts at it or, else, at the last position before it, and how far before."""
         at = np.full(self.n, -1, np.int64)
-        at[self.samples] = np.arange(len(self.samples))
-        where = np.maximum.accumulate(np.where(at >= 0, np.arange(self.n), -1))
-        head = where >= 0
-        out = np.zeros(self.n, np.int64)
-        out[head] = self.lengths[at[where[head]]] - (np.arange(self.n)[head] - where[head])
-        return np.maximum(out, 0)
+        at[self.samples] = np.arange(self.n)[self.samples]
+        where = np.maximum.accumulate(at)
+        run = np.empty(self.n, np.int64)
+        run[self.samples] = np.arange(len(self.samples))
+        return np.where(where >= 0, run[where], -1), np.arange(self.n) - where
+
+    def matches(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each position the longest match with the row before its own, and the position of that row."""
+        run, far = self._sampled()
+        head = run >= 0
+        return np.where(head, np.maximum(self.lengths[run] - far, 0), 0), np.where(head, self.before[run] + far, -1)
+
+    def statistics(self) -> np.ndarray:
+        return self.matches()[0]
+
+    @property
+    def sa(self) -> np.ndarray:
+        """The rows, from the last one back by the samples."""
+        back, out, p = self.matches()[1], np.empty(self.n, np.int64), self.last
+        for k in range(self.n - 1, -1, -1):
+            out[k], p = p, int(back[p])
+        return out
 
 
 def marked_windows(texts: list[bytes], rank: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -385,15 +400,14 @@ def marked_windows(texts: list[bytes], rank: np.ndarray, length: int = LENGTH) -
     index = RunLengthIndex(texts)
     full = sizes + index.mark
     left = np.maximum(np.repeat(np.cumsum(full) - index.mark, full) - np.arange(index.n), 0)
-    match = np.minimum(index.statistics(), left)
-    rows = index.sa
-    apart = match[rows] < length
-    apart[0] = True
-    group = np.flatnonzero(apart)
+    match, back = index.matches()
+    first = np.where(np.minimum(match, left) >= length, back, np.arange(index.n))
+    while not np.array_equal(further := first[first], first):  # to the first row of each string's occurrences
+        first = further
     whose = np.repeat(rank, full)
-    low = np.minimum.reduceat(whose[rows], group)
-    least = np.empty(index.n, whose.dtype)
-    least[rows] = np.repeat(low, np.diff(group, append=index.n))
+    least = np.full(index.n, np.iinfo(whose.dtype).max, whose.dtype)
+    np.minimum.at(least, first, whose)
+    least = least[first]
     return ((least < whose) & (left >= length))[left >= length]
 
 
@@ -421,7 +435,27 @@ def _marks(at: np.ndarray, blobs: list[bytes], source, place, owner, first, size
     return np.concatenate([whole, occ[new]]), np.concatenate([first[whole], first[occ[new]] + inner[new]]), np.concatenate([(first + size)[whole], first[occ[last]] + inner[last] + length])
 
 
-def _match(length: int):
+def _repeated(at: dict[str, np.ndarray], blobs: list[bytes], length: int, gram: int) -> list[tuple[np.ndarray, ...]]:
+    """source, local, start, end of what is repeated in the contexts `at`. Equal keys have equal parts, so parts of the keys
+    are indexed one after the other. Where one key has more than two indexes would hold, its contexts are cut anew by keys of
+    longer grams, down to single windows; equal windows stay together."""
+    share, found = 1 + int(at["size"].sum()) // INDEX_BYTES, []
+    for k in range(share):
+        some = {name: x[at["key"] % share == k] for name, x in at.items()}
+        if gram < length and some["size"].sum() > 2 * INDEX_BYTES:
+            longer = (gram + length + 1) // 2
+            bodies = [blobs[s][p : p + n] for s, p, n in zip(some["source"].tolist(), some["place"].tolist(), some["size"].tolist(), strict=True)]
+            of, key, first, windows = contexts(bodies, length, longer)
+            finer = {name: x[of] for name, x in some.items()}
+            finer |= {"place": finer["place"] + first, "first": finer["first"] + first, "size": windows + length - 1, "key": (key >> np.uint64(8)).astype(np.int64)}
+            found += _repeated(finer, blobs, length, longer)
+        else:
+            o, a, b = _marks(np.arange(len(some["size"])), blobs, *(some[name] for name in ("source", "place", "owner", "first", "size")), length)
+            found.append((some["source"][o], some["local"][o], a, b))
+    return found
+
+
+def _match(length: int, gram: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         lists, sent = pdf[pdf["kind"] == 0], pdf[pdf["kind"] == 1]
         columns = ["kind", "chunk", "ids", "digests", "payload"]
@@ -430,22 +464,19 @@ def _match(length: int):
             parts = [_unpack(x, ("<u4", "<u4", "<u4", "<u4", "<u2", "b")) for x in sent["payload"]]
             ranks = np.unique(np.array([i for x in sent["ids"] for i in x], object))
             known = {i: k for k, i in enumerate(ranks.tolist())}
-            owner = np.concatenate([np.array([known[i] for i in ids], np.int64)[p[1]] for p, ids in zip(parts, sent["ids"], strict=True)])
-            first, size, low_key = (np.concatenate([p[k].astype(np.int64) for p in parts]) for k in (2, 3, 4))
-            local = np.concatenate([p[0][p[1]] for p in parts]).astype(np.int64)
-            source = np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts])
-            place = np.concatenate([np.cumsum(p[3].astype(np.int64)) - p[3] for p in parts])
-            blobs = [p[5] for p in parts]
-            share = 1 + int(size.sum()) // INDEX_BYTES  # equal keys have equal parts, so parts of the keys are indexed one after the other
-            found = [_marks(np.flatnonzero(low_key % share == k), blobs, source, place, owner, first, size, length) for k in range(share)]
-            o, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-            by = np.argsort(source[o], kind="stable")
-            edge = np.searchsorted(source[o][by], np.arange(len(sent) + 1))
+            at = {name: np.concatenate([p[k].astype(np.int64) for p in parts]) for name, k in (("first", 2), ("size", 3), ("key", 4))}
+            at["owner"] = np.concatenate([np.array([known[i] for i in ids], np.int64)[p[1]] for p, ids in zip(parts, sent["ids"], strict=True)])
+            at["local"] = np.concatenate([p[0][p[1]] for p in parts]).astype(np.int64)
+            at["source"] = np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts])
+            at["place"] = np.concatenate([np.cumsum(p[3].astype(np.int64)) - p[3] for p in parts])
+            source, local, a, b = (np.concatenate(x) for x in zip(*_repeated(at, [p[5] for p in parts], length, gram), strict=True))
+            by = np.argsort(source, kind="stable")
+            edge = np.searchsorted(source[by], np.arange(len(sent) + 1))
             rows = []
             for k, chunk in enumerate(sent["chunk"]):
                 x = by[edge[k] : edge[k + 1]]
                 if len(x):
-                    rows.append((1, chunk, None, None, _pack(local[o[x]].astype("<u4"), a[x].astype("<u4"), b[x].astype("<u4"))))
+                    rows.append((1, chunk, None, None, _pack(local[x].astype("<u4"), a[x].astype("<u4"), b[x].astype("<u4"))))
             out.append(pd.DataFrame(rows, columns=columns))
         return pd.concat(out)
 
@@ -500,7 +531,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     heads = known.where("shared > 0").groupBy("digest").agg(F.min(F.struct("id", "mask")).alias("h")).select("h.id", "digest", "h.mask")
     texts = rows.join(heads, "id").select("id", "digest", "text", "mask").sortWithinPartitions("id", "digest")
     shipped = texts.mapInPandas(_ship(owners, length, gram), f"owner int, kind int, chunk binary, ids array<{kind}>, digests array<binary>, payload binary")
-    marks = shipped.groupBy("owner").applyInPandas(_match(length), f"kind int, chunk binary, ids array<{kind}>, digests array<binary>, payload binary")
+    marks = shipped.groupBy("owner").applyInPandas(_match(length, gram), f"kind int, chunk binary, ids array<{kind}>, digests array<binary>, payload binary")
     spans = marks.groupBy("chunk").applyInPandas(_gather, f"id {kind}, digest binary, starts array<long>, ends array<long>")
     return known, written(spans, "spans")
 
