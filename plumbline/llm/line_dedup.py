@@ -7,8 +7,9 @@ least sentence_words words of lines that have several (none in repeated_lines).
 others go. Where they stood is kept as character offsets into the original text; a sentence within a line that goes isn't
 listed again. A line takes its line feed with it.
 
-A first scan numbers the rows in a table of the shared folder, a second writes a small row a unit; grouping sums up by task
-first, so a line that a third of all documents share sends a row a task, and the join with the groups is one that Spark can
+A first scan numbers the rows in a table of the shared folder, a second writes a small row a unit. Which halves of digests occur
+more than once is counted first, so that only units of these are ranked. Both groupings sum up by task
+first, so a line that a third of all documents share sends a row a task, and the joins with the groups are ones that Spark can
 split. Only the texts themselves are shuffled once more, to their spans, where they are cut and hashed.
 
 Defined cases: null and empty texts have no units; blank lines and units of fewer words always stay; a null id comes after all
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import LOWER, UPPER, from_texts, maybe_broadcast, table, written
+from plumbline.llm._common import BROADCAST_ROWS, LOWER, UPPER, from_texts, maybe_broadcast, table, written
 
 MIN_WORDS, SENTENCE_WORDS = 5, 8
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -71,7 +72,8 @@ def _scan(min_words: int, sentence_words: int | None):
                 flat = [u for x in found for u in x]
                 columns = [batch.column(batch.schema.get_field_index(n)).take(of) for n in keep]
                 columns += [pa.array([u[k] for u in flat], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "start", "end", "line", "digest"])
+                columns.append(pa.array(np.frombuffer(b"".join(u[3][:8] for u in flat), np.int64)))
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "start", "end", "line", "digest", "half"])
 
     return run
 
@@ -102,10 +104,14 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), body.alias("text")), "numbered")
     rank = F.struct(F.col("id").isNull().alias("last"), "id", "sha", "row", "start")
     units = rows.select("row", "id", F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32)).alias("sha"), "text")
-    units = written(units.mapInArrow(_scan(min_words, sentence_words), f"row long, id {kind}, sha binary, start int, end int, line int, digest binary"), "units")
-    first = units.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first.row", "first.start").withColumnsRenamed({"row": "row1", "start": "start1"})
+    units = written(units.mapInArrow(_scan(min_words, sentence_words), f"row long, id {kind}, sha binary, start int, end int, line int, digest binary, half long"), "units")
+    # most units occur once: half of their digest tells so
+    often = written(units.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half"), "repeated-halves")
+    more = units.join(F.broadcast(often) if often.count() <= 4 * BROADCAST_ROWS else often, "half").drop("half")
+    more = written(more, "repeated-units")
+    first = more.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first.row", "first.start").withColumnsRenamed({"row": "row1", "start": "start1"})
     first = written(first, "groups")
-    later = units.select("digest", "row", "start", "end", "line").join(maybe_broadcast(first, first.count()), "digest").where("NOT (row = row1 AND start = start1)")
+    later = more.select("digest", "row", "start", "end", "line").join(maybe_broadcast(first, first.count()), "digest").where("NOT (row = row1 AND start = start1)")
     gone = later.groupBy("row").agg(*(F.collect_list(c).alias(c) for c in ("start", "end", "line")))
     counts = units.groupBy("row").agg(F.count("*").alias("n_units"))
 
