@@ -31,6 +31,11 @@ def standardized(text: Column) -> Column:
     return F.regexp_replace(plain, r"^[ \n\t]+|[ \n\t]+$", "")
 
 
+def lead_standardized(text: Column) -> Column:
+    """The text as it is, without the white space at its start that standardized() drops."""
+    return F.regexp_replace(text, f"^[ \\n\\t{SPACES}{EMPTY}]+", "")
+
+
 @F.pandas_udf(StringType())
 def unescaped(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from plumbline.operators import assembly_catalogue as assembly
 from plumbline.operators import catalogue as operations
 from plumbline.plans import catalogue
 
-_MODULES = (catalogue, operations)
+_MODULES = (catalogue, operations, assembly)
 
 
 def queries() -> dict:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import all_standardized_well, number_of, standardized_well, to_marks
+from plumbline.functions.text import lead_standardized, number_of, standardized, to_marks
 from plumbline.sources import schemas as s
 
 DATASETS = {"drop": "drop", "hotpotqa": "hotpotqa", "hotpot-squad": "hotpotqa", "iirc": "iirc"}
@@ -30,6 +30,32 @@ def perturbations(spark: SparkSession, path: str, dataset: str | None = None) ->
     return out.withColumns({"orig_id": parts[0], "transform_base": F.get(parts, F.lit(1)), "transform_info": F.get(parts, F.lit(2))})
 
 
+def program_rows(spark: SparkSession, path: str, prefix: str = "", marks: bool = True) -> DataFrame:
+    """question_id, source (the prefix and the question) and, of files of five columns, the steps; files of two columns
+    have question_id and source alone."""
+    if len(spark.read.csv(path, header=True).columns) == 2:
+        rows = _csv(spark, path, s.PARSER_INPUT)
+        return rows.select("question_id", F.concat(F.lit(prefix), F.col("source")).alias("source"), F.lit(None).cast("array<string>").alias("steps"))
+    return _csv(spark, path, s.PROGRAMS).select("question_id", F.concat(F.lit(prefix), F.col("question_text")).alias("source"), steps_of(F.col("decomposition"), marks).alias("steps"))
+
+
+def reverse_rows(spark: SparkSession, path: str, marks: bool = True) -> DataFrame:
+    """question_id, steps and question of a program file, or of a file of perturbations, whose questions are those of the
+    original examples; the header decides."""
+    if "transformation" in spark.read.csv(path, header=True).columns:
+        rows = _csv(spark, path, s.PERTURBED).select(F.col("id").alias("question_id"), "question", "decomposition", F.lit("perturbed").alias("kind"))
+    else:
+        rows = _csv(spark, path, s.PROGRAMS).select("question_id", F.col("question_text").alias("question"), "decomposition", F.lit("program").alias("kind"))
+    return rows.select("question_id", steps_of(F.col("decomposition"), marks).alias("steps"), "question", "kind")
+
+
+def program_ids(spark: SparkSession, path: str, data_format: str) -> DataFrame:
+    """Distinct qid of a program file's rows whose data set's name is part of data_format; ids are dataset_split_qid."""
+    parts = F.split("question_id", "_", 3)
+    rows = _csv(spark, path, s.PROGRAMS).where(F.size(parts) == 3).where(F.lit(data_format).contains(F.lower(parts[0])))
+    return rows.select(parts[2].alias("qid")).distinct()
+
+
 def steps_of(text: Column, marks: bool = False) -> Column:
     """Texts of the steps: white space collapsed, `return` gone."""
     parts = F.split(F.regexp_replace(text, r"\s+", " "), ";")
@@ -58,13 +84,12 @@ def hotpot_questions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def squad_questions(spark: SparkSession, path: str) -> DataFrame:
-    """Questions with standardised texts; offsets move by what the standardised context lost at its start."""
+    """Questions with standardised texts; offsets move by what the standardised context lost at its start. Characters within
+    a text keep their places, so an answer stays where it was."""
     rows = _squad(spark, path)
-    rows = rows.withColumn("lead", F.length("context") - F.length(F.ltrim(F.col("context"))))
-    rows = rows.withColumn("answers", F.coalesce("q.answers", F.array().cast(f"array<{s.SQUAD_ANSWER}>")))
-    rows = rows.withColumn("texts", all_standardized_well(F.transform("answers", lambda a: a["text"])))
-    moved = F.zip_with("answers", "texts", lambda a, t: F.struct(t.alias("text"), (a["answer_start"] - F.col("lead")).alias("answer_start")))
-    return rows.select(F.col("q.id").alias("query_id"), standardized_well(F.col("q.question")).alias("question"), standardized_well(F.col("context")).alias("context"), moved.alias("answers"), F.coalesce("q.is_impossible", F.lit(False)).alias("is_impossible"), F.col("q.is_boolq").isNotNull().alias("is_boolq"))
+    rows = rows.withColumn("lead", F.length("context") - F.length(lead_standardized(F.col("context"))))
+    moved = F.transform(F.coalesce("q.answers", F.array().cast(f"array<{s.SQUAD_ANSWER}>")), lambda a: F.struct(standardized(a["text"]).alias("text"), (a["answer_start"] - F.col("lead")).alias("answer_start")))
+    return rows.select(F.col("q.id").alias("query_id"), standardized(F.col("q.question")).alias("question"), standardized(F.col("context")).alias("context"), moved.alias("answers"), F.coalesce("q.is_impossible", F.lit(False)).alias("is_impossible"), F.col("q.is_boolq").isNotNull().alias("is_boolq"))
 
 
 def _spans(texts: Column) -> Column:
@@ -109,6 +134,21 @@ def numeric_answers(rows: DataFrame, id_col: str, answer_col: str, dataset: str,
     return rows.select(F.concat_ws("_", F.lit(dataset), F.lit(split), F.col(id_col)).alias("question_id"), number.alias("number")).where("number IS NOT NULL")
 
 
+def numeric_answers_of(spark: SparkSession, path: str, dataset: str, split: str = "dev") -> DataFrame:
+    """question_id, number of a file of one of four data sets: HOTPOT, DROP, CWQ, IIRC."""
+    if dataset == "DROP":
+        rows = drop_questions(spark, path).select(F.concat_ws("_", "passage_id", "query_id").alias("id"), F.col("answers")[0]["number"].alias("answer"))
+    elif dataset == "IIRC":
+        q = spark.read.schema(s.IIRC).json(path, multiLine=True).select("pid", F.explode("questions").alias("q"))
+        answer = F.when(F.col("q.answer.type") == "value", F.col("q.answer.answer_value")).when(F.col("q.answer.type") == "span", F.col("q.answer.answer_spans")[0]["text"])
+        rows = q.select(F.concat_ws("_", "pid", "q.qid").alias("id"), answer.alias("answer"))
+    elif dataset == "CWQ":
+        rows = spark.read.schema(s.CWQ).json(path, multiLine=True).select(F.col("ID").alias("id"), F.col("answers")[0]["answer"].alias("answer"))
+    else:
+        rows = spark.read.schema(s.HOTPOT).json(path, multiLine=True).select(F.col("_id").alias("id"), "answer")
+    return numeric_answers(rows, "id", "answer", dataset, split)
+
+
 def predictions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(s.PREDICTION).json(path)
 

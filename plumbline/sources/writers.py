@@ -35,3 +35,29 @@ def nested_json(flat: DataFrame, path: str) -> None:
     """Flat questions as one line a passage: passage_id, passage, qa_pairs."""
     qa = F.array_sort(F.collect_list(F.struct("query_id", "question", "answer")), lambda a, b: F.when(a["query_id"] < b["query_id"], -1).when(a["query_id"] > b["query_id"], 1).otherwise(0))
     flat.groupBy("passage_id", "passage").agg(qa.alias("qa_pairs")).write.json(path)
+
+
+def numeric_json(parts: list[DataFrame], path: str) -> None:
+    """question_id, number of several sources, a line each; where two have one id, the later source counts."""
+    every = parts[0].withColumn("_at", F.lit(0))
+    for k, part in enumerate(parts[1:], 1):
+        every = every.unionByName(part.withColumn("_at", F.lit(k)))
+    every.groupBy("question_id").agg(F.max_by("number", "_at").alias("number")).write.json(path)
+
+
+def parser_inputs(parts: dict[str, DataFrame], path: str, split: str = "dev") -> None:
+    """One file of the parser's input from flat questions of several data sets."""
+    rows = [parser_input(df, dataset, split) for dataset, df in parts.items()]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    out.write.csv(path, header=True, escape='"')
+
+
+def example_files(info: DataFrame, path: str, failures: bool = False) -> None:
+    """Example info (or the rows that failed) and constraints, as JSON lines in two folders."""
+    from plumbline.operators.assemble import kept_examples
+
+    kept, constraints = kept_examples(info, failures)
+    kept.write.json(f"{path}_example_info{'_failure_cases' if failures else ''}")
+    constraints.select("qid", "constraint", "orig_answer_texts").write.json(f"{path}_constraints")
