@@ -16,18 +16,35 @@ def exact(prediction: Column, gold: Column) -> Column:
     return (normalized_answer(prediction) == normalized_answer(gold)).cast("int")
 
 
+def once(value: Column, use) -> Column:
+    """use(value), the value computed once however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _numbered(words_: Column) -> Column:
+    """Each word with how often it has come before, so that a bag is a set."""
+    number = lambda s: F.transform(s, lambda w, i: F.concat(w, F.lit("\u0001"), (i - F.array_position(s, w)).cast("string")))
+    return once(F.array_sort(words_), number)
+
+
 def overlap(a: Column, b: Column) -> Column:
     """Size of the intersection of two bags: for each distinct word the smaller count."""
-    count = lambda xs, w: F.size(F.filter(xs, lambda x: x == w))
-    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, w: n + F.least(count(a, w), count(b, w)))
+    return F.size(F.array_intersect(_numbered(a), _numbered(b)))
 
 
 def token_f1(prediction: Column, gold: Column) -> Column:
     """Of bags of normalised words; two empty ones agree."""
-    a, b = words(normalized_answer(prediction)), words(normalized_answer(gold))
-    same = overlap(a, b).cast("double")
-    f1 = F.when(same > 0, 2 * (same / F.size(a)) * (same / F.size(b)) / (same / F.size(a) + same / F.size(b))).otherwise(F.lit(0.0))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), (F.size(a) == F.size(b)).cast("double")).otherwise(f1)
+
+    def score(p: Column) -> Column:
+        same, a, b = p["same"], p["a"], p["b"]
+        f1 = F.when(same > 0, 2 * (same / a) * (same / b) / (same / a + same / b)).otherwise(F.lit(0.0))
+        return F.when((a == 0) | (b == 0), (a == b).cast("double")).otherwise(f1)
+
+    def sizes(p: Column) -> Column:
+        return F.struct(F.size(p["a"]).alias("a"), F.size(p["b"]).alias("b"), overlap(p["a"], p["b"]).cast("double").alias("same"))
+
+    both = F.struct(words(normalized_answer(prediction)).alias("a"), words(normalized_answer(gold)).alias("b"))
+    return once(once(both, sizes), score)
 
 
 def best_over(golds: Column, score) -> Column:

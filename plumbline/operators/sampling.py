@@ -15,12 +15,35 @@ def stratified(df: DataFrame, stratum: str, key: str, n: int | dict[str, int], s
     """n rows of each stratum (or as many as a dictionary says), chosen by a seeded digest of the key. strict: a stratum with
     fewer rows is an error when the result is read."""
     rank = F.row_number().over(W.partitionBy(stratum).orderBy(*order_by_digest(key, seed)))
+    largest = n if isinstance(n, int) else max(n.values(), default=0)
+    out = df.withColumn("_rank", rank).where(F.col("_rank") <= largest)  # a literal bound: each task keeps so many of a stratum before rows are shuffled
     most = F.lit(n) if isinstance(n, int) else F.coalesce(F.create_map(*[F.lit(x) for pair in n.items() for x in pair])[F.col(stratum)], F.lit(0))
-    size = F.count("*").over(W.partitionBy(stratum))
-    out = df.withColumn("_rank", rank).withColumn("_size", size).withColumn("_most", most)
-    if strict:
-        out = out.withColumn("_size", F.when(F.col("_size") < F.col("_most"), F.raise_error(F.concat(F.lit("too few rows of "), F.col(stratum).cast("string")))).otherwise(F.col("_size")))
-    return out.where("_rank <= _most AND _size >= 0").drop("_rank", "_size", "_most")
+    if not isinstance(n, int):
+        out = out.where(F.col("_rank") <= most)
+    if strict:  # sizes are summed up by task
+        few = df.groupBy(F.col(stratum).alias("_stratum")).agg(F.count("*").alias("_size"))
+        out = out.join(F.broadcast(few) if not isinstance(n, int) else few, F.col(stratum).eqNullSafe(F.col("_stratum")))
+        enough = F.when(F.col("_size") < most, F.raise_error(F.concat(F.lit("too few rows of "), F.coalesce(F.col(stratum).cast("string"), F.lit("null")))).cast("boolean")).otherwise(F.lit(True))
+        out = out.where(enough).drop("_stratum", "_size")
+    return out.drop("_rank")
+
+
+def positions(df: DataFrame, columns: list[str], name: str = "position", parts: int = 64, sample: int = 100) -> DataFrame:
+    """The place of each row, from 1, in the order of columns that tell all rows apart. Bounds of parts come from the rows whose
+    digest is 0 modulo a number that the count of rows gives (sample rows a part, about); rows are numbered within parts,
+    which other tasks do, and the sizes of the parts before are added."""
+    every = max(1, df.count() // (parts * sample))
+    chosen = df.where(F.pmod(F.xxhash64(*columns), F.lit(every)) == 0).select(F.struct(*columns).alias("k")).orderBy("k").collect() if every > 1 else []
+    types = df.select(F.struct(*columns).alias("k")).schema["k"].dataType
+    bounds = [r["k"] for r in chosen[len(chosen) // parts :: max(1, len(chosen) // parts)]]
+    key = F.struct(*columns)
+    edge = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, types.fields, strict=True)]) for b in bounds]) if bounds else None
+    part = F.size(F.filter(edge, lambda b: b <= key)) if bounds else F.lit(0)
+    rows = df.withColumn("_part", part)
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a part
+    inner = F.row_number().over(W.partitionBy("_part").orderBy(*columns))
+    return rows.withColumn("_in", inner).join(F.broadcast(before), "_part").withColumn(name, (F.col("_in") + F.col("_before")).cast("int")).drop("_part", "_in", "_before")
 
 
 def share_of(total: int, percent: float) -> int:

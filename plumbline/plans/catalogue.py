@@ -28,6 +28,10 @@ PROGRAMS: dict[str, tuple[str, str]] = {
     **{f"group_{a}": (f"return customers ;return orders of #1 ;return {'' if a == 'count' else 'total price of #2 ;return '}{p} of #{2 if a == 'count' else 3} for each #1", _PER.format(e)) for a, p, e in (("count", "number", "count(o_orderkey)"), ("min", "lowest", "min(o_totalprice)"), ("max", "highest", "max(o_totalprice)"))},
     "group_sum": ("return nations ;return customers of #1 ;return number of #2 for each #1 ;return sum of #3", "SELECT count(*) AS answer FROM customer JOIN nation ON c_nationkey = n_nationkey"),
     "group_avg": ("return regions ;return nations of #1 ;return number of #2 for each #1 ;return average of #3", "SELECT avg(n) AS answer FROM (SELECT count(n_nationkey) AS n FROM region LEFT JOIN nation ON r_regionkey = n_regionkey GROUP BY r_regionkey)"),
+    **{
+        f"group_{a}_each": (f"return orders ;return lines of #1 ;return quantity of #2 ;return {p} of #3 for each #1", f"SELECT o_orderkey AS entity, {a}(l_quantity) AS answer FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+        for a, p in (("sum", "sum"), ("avg", "average"))
+    },
     **{f"superlative_{a}": (f"return parts ;return price of #1 ;return #1 where #2 is {p}", f"SELECT p_partkey AS answer FROM part WHERE p_retailprice = (SELECT {a}(p_retailprice) FROM part)") for a, p in (("max", "highest"), ("min", "lowest"))},
     "superlative_top": ("return parts ;return price of #1 ;return #1 where #2 is in top 5", "SELECT p_partkey AS answer FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 5"),
     **{

@@ -15,9 +15,9 @@ import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.operators.sampling import positions
 from plumbline.plans import grounding as g
 from plumbline.plans.program import Program, Step, comparator, parse
 
@@ -31,10 +31,6 @@ class Rel:
     entity: str | None = None
     lineage: tuple[str, ...] = ()
 
-    def keyed(self) -> DataFrame:
-        """Its own column and lineage, without repetitions."""
-        return self.df.select(*dict.fromkeys([*self.lineage, self.col])).distinct()
-
 
 class Compiler:
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -92,9 +88,6 @@ class Compiler:
         kept = base.df.select(*lineage, *[c for c in base.df.columns if c == own and c not in lineage])
         return Rel(kept.join(right, kept[own] == right[other]).withColumn(s, right[g.SCHEMA[entity].key]), s, entity, lineage)
 
-    def _value(self, ref: str) -> Rel | Column:
-        return self.done[ref]
-
     def _aggregate(self, step: Step, s: str) -> Column | Rel:
         how, base = step.args[0], self.done[step.args[1]]
         if top := re.fullmatch(r"top (\d+)", how):
@@ -164,11 +157,12 @@ class Compiler:
         return self._again(base, base.df.join(gone.df.select(F.col(column).alias("_gone")).distinct(), F.col(base.col) == F.col("_gone"), "left_anti"), s)
 
     def _sort(self, step: Step, s: str) -> Rel:
-        """Rows in order. The position is dealt out only here, where an order over all rows is what is asked for."""
+        """Rows in order. The position is dealt out only here, where an order over all rows is what is asked for, by parts of
+        the order whose bounds are looked up first."""
         base, order = self.done[step.args[0]], self.done[step.args[1].split()[0]]
         rows = self._paired(base, order)
         out = rows.select(*dict.fromkeys([*base.lineage, base.col, order.col])).distinct()
-        out = out.withColumn("position", F.row_number().over(W.orderBy(order.col, base.col)))
+        out = positions(out, [order.col, base.col])
         return Rel(out.withColumn(s, F.col(base.col)), s, base.entity, (*base.lineage, base.col))
 
     # ---- scalars
