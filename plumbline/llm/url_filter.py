@@ -1,14 +1,16 @@
 """URL filter with redirect equivalence.
 
 A url's own rule is the longest that fits its host (or a parent domain) and the start of its path. A url without a rule
-takes the decision of its aliases: urls are nodes, and edges lead from a page to the target of its canonical link, to
-that of its refresh redirect, to the targets in a table of redirects if one is given, and to its plain form (without
-fragment and tracking parameters). Distributed connected components make the groups of aliases; a group in which any url
-is explicitly allowed is allowed, else a group in which any is blocked is blocked, else it is allowed.
+takes the decision of its aliases: urls are nodes, and edges lead from a page to the targets of its canonical links, to
+those of its refresh redirects, to the targets in a table of redirects if one is given, and to its plain form (without
+fragment and tracking parameters). Distributed connected components make the groups of aliases (tasks contract the edges they
+hold in Python, see components); a group in which any url is explicitly allowed is allowed, else a group in which any is
+blocked is blocked, else it is allowed.
 
 Defined cases: null urls and urls without `://` have empty host and path, no rule and no aliases, and are allowed; a null
-html has no links; links without `://` are left out (relative targets keep the host of the page and add nothing to the
-host rules); equal urls of several pages are one node; rows repeat as they are; other columns are never read.
+html has no links; `&amp;` in a target is `&`, relative targets are resolved against the page's url (dot segments stay as they
+are), and targets of other schemes (`mailto:`) or within the page (`#x`) are left out; A-Z of scheme and host are folded; equal
+urls of several pages are one node; rows repeat as they are; other columns are never read.
 """
 
 from __future__ import annotations
@@ -62,12 +64,36 @@ def plain_form(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(bare, r"(?<=[?&])(utm_[a-z]+|gclid|fbclid)=[^&]*(&|$)", ""), r"[?&]$", "")
 
 
+def node_of(url: Column) -> Column:
+    """The url with A-Z of its scheme and host folded."""
+    start = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    return F.concat(F.translate(start, UPPER, LOWER), F.substring(url, F.length(start) + 1, F.length(url)))
+
+
+def resolved(target: Column, url: Column) -> Column:
+    """The absolute url of a target on a page; null where it names none."""
+    site, place = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), F.regexp_extract(url, r"(?s)^(.*?://[^?#]*)", 1)
+    folder = F.when(F.length(place) > F.length(site), F.regexp_extract(place, r"(?s)^(.*/)", 1)).otherwise(F.concat(site, F.lit("/")))
+    return (
+        F.when((target == "") | target.startswith("#"), F.lit(None).cast("string"))
+        .when(target.contains("://"), target)
+        .when(target.startswith("//"), F.concat(F.regexp_extract(url, r"(?s)^(.*?:)//", 1), target))
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(target.startswith("/"), F.concat(site, target))
+        .when(target.startswith("?"), F.concat(place, target))
+        .otherwise(F.concat(folder, target))
+    )
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
-    """a, b: from each url to its canonical link and to its refresh redirect, as far as these are absolute."""
+    """a, b: from each url to its canonical links, its refresh redirects and its plain form, as nodes."""
     html = F.coalesce("html", F.lit(""))
-    canonical = F.regexp_extract(F.regexp_extract(html, r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0), r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract(F.regexp_extract(html, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0), r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    return pages.where("contains(url, '://')").select(F.col("url").alias("a"), F.explode(F.array(canonical, refresh, plain_form(F.col("url")))).alias("b")).where("contains(b, '://')")
+    tags = lambda pattern: F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
+    target = lambda tag, name: F.replace(F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*[\"']?([^\"'\s>]+)", 1), F.lit("&amp;"), F.lit("&"))
+    canonical = F.transform(tags(r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"), lambda t: target(t, "href"))
+    refresh = F.transform(tags(r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"), lambda t: target(t, "url"))
+    some = pages.where("contains(url, '://')").select("url", F.explode(F.concat(canonical, refresh, F.array(plain_form(F.col("url"))))).alias("to"))
+    return some.select(node_of(F.col("url")).alias("a"), node_of(resolved(F.col("to"), F.col("url"))).alias("b")).where("contains(b, '://')")
 
 
 def judged(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
@@ -75,13 +101,13 @@ def judged(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) ->
     pages = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     edges = link_edges(pages)
     if redirects is not None:
-        edges = edges.unionByName(redirects.select("a", "b").where("contains(a, '://') and contains(b, '://')"))
+        edges = edges.unionByName(redirects.where("contains(a, '://') and contains(b, '://')").select(node_of(F.col("a")).alias("a"), node_of(F.col("b")).alias("b")))
     member = components(edges)
     known = with_rules(member.withColumns({"host": host_of(F.col("node")), "path": path_of(F.col("node"))}), rules)
     said = known.where("own is not null").groupBy("component").agg(F.max(F.when(F.col("own") == "allow", 2).when(F.col("own") == "block", 1)).alias("says"))
-    blocked = member.join(said.where("says = 1"), "component", "left_semi").select(F.col("node").alias("url")).distinct().withColumn("alias_blocked", F.lit(True))
-    own = with_rules(pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")), rules)
-    return own.join(blocked, "url", "left").select(
+    blocked = member.join(said.where("says = 1"), "component", "left_semi").select("node").distinct().withColumn("alias_blocked", F.lit(True))
+    own = with_rules(pages.select("page_id", node_of(F.col("url")).alias("node"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")), rules)
+    return own.join(blocked, "node", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("own", F.when(F.col("alias_blocked"), F.lit("block")), F.lit("allow")).alias("verdict")
     )
 
