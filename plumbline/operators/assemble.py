@@ -20,6 +20,8 @@ from plumbline.operators.perturb import operators_of, parts_of_id
 from plumbline.sources.schemas import ANSWER
 
 NUMBER, SPANS = "answer_number", "answer_spans"
+#: What example files have of each example.
+INFO = f"qid string, orig_id string, question string, transform_base string, transform_info string, passage_id string, passage string, generated_question string, {NUMBER} double, {SPANS} array<string>, answered_by string"
 PAIR_OPS = ("sum", "difference", "multiplication")
 
 

@@ -214,7 +214,7 @@ def no_single_noun(kind: str, info: str, program: Program) -> bool:
 
 CHECKS = {"time_diff_sum": no_time_sum, "self_diff": no_self_difference, "single_noun_phrase": no_single_noun}
 
-SCHEMA = "id string, orig_id string, question string, decomposition string, transformation string, type string, info string, transformed_question string, operators array<string>, checks map<string,boolean>"
+SCHEMA = "id string, orig_id string, question string, orig_decomposition string, decomposition string, transformation string, type string, info string, transformed_question string, operators array<string>, checks map<string,boolean>"
 
 
 def _run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -225,7 +225,7 @@ def _run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if not is_valid(program):
                 continue
             for kind, info, new, asked in perturbations(Example(i, question or "", program, None if pd.isna(number) else float(number))):
-                out.append((f"{i}{ID_SEP}{kind}{ID_SEP}{info}", i, question, new.text(), f"{kind}{ID_SEP}{info}", kind, info, asked, [s.op for s in new.steps], {n: f(kind, info, new) for n, f in CHECKS.items()}))
+                out.append((f"{i}{ID_SEP}{kind}{ID_SEP}{info}", i, question, text, new.text(), f"{kind}{ID_SEP}{info}", kind, info, asked, [s.op for s in new.steps], {n: f(kind, info, new) for n, f in CHECKS.items()}))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import lead_standardized, number_of, standardized, to_marks
+from plumbline.functions.text import lead_standardized, number_of, numbers_in, standardized, to_marks
 from plumbline.sources import schemas as s
 
 DATASETS = {"drop": "drop", "hotpotqa": "hotpotqa", "hotpot-squad": "hotpotqa", "iirc": "iirc"}
@@ -30,6 +30,30 @@ def perturbations(spark: SparkSession, path: str, dataset: str | None = None) ->
     return out.withColumns({"orig_id": parts[0], "transform_base": F.get(parts, F.lit(1)), "transform_info": F.get(parts, F.lit(2))})
 
 
+def transformed_programs(spark: SparkSession, path: str, dataset: str) -> DataFrame:
+    """id, orig_id, question, decomposition, transformed (steps) and transformation of the rows of a data set in a file of
+    perturbations. orig_id is the question's id in the data set's own file."""
+    whole = F.split(F.split("id", r"\+", 2)[0], "_", 3)
+    own = F.regexp_extract(whole[2], r"([^_]*)$", 1) if dataset == "iirc" else whole[2]
+    rows = _csv(spark, path, s.PERTURBED).where(F.size(whole) == 3).where(F.lit(dataset).contains(F.lower(whole[0])))
+    return rows.select("id", own.alias("orig_id"), "question", "decomposition", steps_of(F.col("transformation")).alias("transformed"), F.col("type").alias("transformation"))
+
+
+def originals(spark: SparkSession, path: str, dataset: str) -> DataFrame:
+    """query_id, passage_id, passage, answer_texts and numbers of the original examples of drop, iirc (as one file of nested
+    passages each) or hotpot-squad."""
+    numbers = F.transform(numbers_in(F.col("passage")), lambda x: x["v"])
+    numbers = F.slice(numbers, F.lit(1), F.size(numbers) - 1)  # without the sentinel
+    if dataset == "hotpot-squad":
+        rows = hotpot_questions(spark, path)
+        return rows.select("query_id", "passage_id", "passage", F.transform("answers", lambda a: a["text"]).alias("answer_texts"), numbers.alias("numbers"))
+    gold = F.col("answers")[0]
+    date = F.filter(F.array(gold["date"]["day"], gold["date"]["month"], gold["date"]["year"]), lambda x: F.coalesce(x, F.lit("")) != "")
+    texts = F.when(F.coalesce(gold["number"], F.lit("")) != "", F.array(gold["number"])).when(F.size(gold["spans"]) > 0, gold["spans"]).otherwise(date)
+    own = F.concat_ws("_", "passage_id", "query_id") if dataset == "drop" else F.col("query_id")
+    return drop_questions(spark, path).select(own.alias("query_id"), "passage_id", "passage", texts.alias("answer_texts"), numbers.alias("numbers"))
+
+
 def program_rows(spark: SparkSession, path: str, prefix: str = "", marks: bool = True) -> DataFrame:
     """question_id, source (the prefix and the question) and, of files of five columns, the steps; files of two columns
     have question_id and source alone."""

@@ -9,8 +9,8 @@ from plumbline.functions.text import from_marks
 
 
 def perturbed_csv(made: DataFrame, path: str) -> None:
-    """The file of perturbations, without the questions that rules rewrote."""
-    made.select("id", "question", "decomposition", "transformation", "type").write.csv(path, header=True, escape='"')
+    """The file of perturbations: the original program, the perturbed one and the transform; without the questions that rules rewrote."""
+    made.select("id", "question", F.col("orig_decomposition").alias("decomposition"), F.col("decomposition").alias("transformation"), F.col("transformation").alias("type")).write.csv(path, header=True, escape='"')
 
 
 def augmented_csv(made: DataFrame, path: str, split: str = "train") -> None:
