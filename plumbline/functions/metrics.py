@@ -84,3 +84,40 @@ def sari(source: Column, prediction: Column, target: Column, most: int = 4) -> C
     parts = [sari_parts(source, prediction, target, n) for n in range(1, most + 1)]
     mean = [sum((p[k] for p in parts[1:]), parts[0][k]) / most for k in ("add", "keep", "delete")]
     return (mean[0] + mean[1] + mean[2]) / 3
+
+
+def sari_of_targets(source: Column, prediction: Column, targets: Column, most: int = 4) -> dict[str, Column]:
+    """add, keep, delete and sari, means over n-grams up to `most`, with an array of targets. What is kept or left out counts by
+    the share of targets (of those that have n-grams) that have it; what is added, if any target has it."""
+    size = lambda x: F.size(x).cast("double")
+
+    def parts(n: int) -> Column:
+        grams = F.struct(ngrams(source, n).alias("s"), ngrams(prediction, n).alias("p"), F.filter(F.transform(targets, lambda t: ngrams(t, n)), lambda t: F.size(t) > 0).alias("ts"))
+
+        def scores(g: Column) -> Column:
+            s, p, ts = g["s"], g["p"], g["ts"]
+            share = lambda x: F.when(F.size(ts) > 0, F.aggregate(ts, F.lit(0.0), lambda a, t: a + size(F.array_intersect(x, t))) / F.size(ts)).otherwise(F.lit(0.0))
+            every, kept, gone, added = F.array_distinct(F.flatten(ts)), F.array_intersect(p, s), F.array_except(s, p), F.array_except(p, s)
+            return F.struct(
+                _f1(size(F.array_intersect(added, every)), size(added), size(F.array_except(every, s))).alias("add"),
+                _f1(share(kept), size(kept), share(s)).alias("keep"), _ratio(size(gone) - share(gone), size(gone)).alias("delete"),
+            )
+
+        return once(grams, scores)
+
+    every = F.array(*[parts(n) for n in range(1, most + 1)])
+
+    def mean_of(k: str) -> Column:
+        return F.aggregate(every, F.lit(0.0), lambda a, x: a + x[k]) / most
+
+    mean = {k: mean_of(k) for k in ("add", "keep", "delete")}
+    return mean | {"sari": (mean["add"] + mean["keep"] + mean["delete"]) / 3}
+
+
+def span_accuracy(rows, no_answer: bool = False):
+    """Shares of rows(start, end, gold_start, gold_end) whose start, end, and both are right; gold_start -1 is unknown and, with
+    no_answer, 0 is none: such rows don't count."""
+    known = rows.where(F.col("gold_start") != -1)
+    known = known.where(F.col("gold_start") != 0) if no_answer else known
+    first, last = F.col("start") == F.col("gold_start"), F.col("end") == F.col("gold_end")
+    return known.agg(*[F.avg(x.cast("double")).alias(n) for n, x in (("start_acc", first), ("end_acc", last), ("span_acc", first & last))], F.count("*").alias("n"))

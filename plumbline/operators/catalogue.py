@@ -158,6 +158,21 @@ def sari(spark, sf_dir):
     return _turns(spark, sf_dir).join(c, ["conv_id", "turn"]).select("conv_id", "turn", F.round(metrics.sari(x, y, z), 6).alias("sari"))
 
 
+def sari_targets(spark, sf_dir):
+    """SARI of a turn, the one after it as prediction, and two targets: the turn after that, and the turn with that."""
+    c = _t(spark, sf_dir, "conversations").select("conv_id", F.col("turn") - 2, "text").toDF("conv_id", "turn", "z")
+    x, y, z, xz = (F.split(F.lower(k), " ") for k in (F.col("x"), F.col("y"), F.col("z"), F.concat_ws(" ", "x", "z")))
+    rows = _turns(spark, sf_dir).join(c, ["conv_id", "turn"])
+    return rows.select("conv_id", "turn", *[F.round(v, 6).alias(k) for k, v in metrics.sari_of_targets(x, y, F.array(z, xz)).items()])
+
+
+def span_scores(spark, sf_dir):
+    """Spans of the first `an` and `the` of benchmark items as predictions of each other, unknown where an item has none."""
+    at = lambda w: F.locate(w, F.col("text")) - 1
+    rows = _t(spark, sf_dir, "benchmark").select((at("an") % 5).alias("start"), (at("an") % 3).alias("end"), F.when(at("the") < 0, -1).otherwise(at("the") % 5).alias("gold_start"), (at("the") % 3).alias("gold_end"))
+    return metrics.span_accuracy(rows, no_answer=True).select(*[F.round(c, 6).alias(c) for c in ("start_acc", "end_acc", "span_acc")], "n")
+
+
 def find_spans(spark, sf_dir):
     return _t(spark, sf_dir, "benchmark").select("item_id", F.explode(tx.all_offsets(F.col("text"), F.lit("an")).cast("array<long>")).alias("offset"))
 
@@ -176,6 +191,18 @@ def standardize(spark, sf_dir):
 
 _NORM = "array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower({}), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\s+'), lambda w: w NOT IN ('', 'a', 'an', 'the')), ' ')"
 _PAIRS = "(SELECT a.conv_id, a.turn, substr(a.text, 1, 400) AS x, substr(b.text, 1, 400) AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
+_GRAMS = "list_distinct(list_transform(range(1, greatest(len({0}) - n + 2, 1)), lambda i: array_to_string({0}[i:i + n - 1], chr(1))))"
+_SARI_TARGETS = (
+    "WITH w AS (SELECT a.conv_id, a.turn, string_split(lower(a.text), ' ') AS s, string_split(lower(b.text), ' ') AS p, string_split(lower(c.text), ' ') AS t, string_split(lower(a.text || ' ' || c.text), ' ') AS u "
+    "FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 JOIN conversations c ON a.conv_id = c.conv_id AND c.turn = a.turn + 2), "
+    "g AS (SELECT conv_id, turn, n, " + ", ".join(f"{_GRAMS.format(x)} AS {x}" for x in "sptu") + " FROM w, range(1, 5) r(n)), "
+    "k AS (SELECT *, (len(t) > 0)::INTEGER + (len(u) > 0)::INTEGER AS k, list_distinct(list_concat(t, u)) AS every, list_filter(p, lambda x: list_contains(s, x)) AS kept, list_filter(s, lambda x: NOT list_contains(p, x)) AS gone, list_filter(p, lambda x: NOT list_contains(s, x)) AS added FROM g), "
+    "c AS (SELECT *, len(list_filter(added, lambda x: list_contains(every, x)))::DOUBLE AS ah, len(added) AS asel, len(list_filter(every, lambda x: NOT list_contains(s, x))) AS arel, "
+    + ", ".join(f"CASE WHEN k > 0 THEN (len(list_filter({x}, lambda x: list_contains(t, x))) + len(list_filter({x}, lambda x: list_contains(u, x)))) / k ELSE 0 END AS {y}" for x, y in (("kept", "kh"), ("s", "krel"), ("gone", "dh")))
+    + " FROM k), r AS (SELECT conv_id, turn, CASE WHEN asel > 0 THEN ah / asel ELSE 1 END AS p1, CASE WHEN arel > 0 THEN ah / arel ELSE 1 END AS r1, CASE WHEN len(kept) > 0 THEN kh / len(kept) ELSE 1 END AS p2, CASE WHEN krel > 0 THEN kh / krel ELSE 1 END AS r2, CASE WHEN len(gone) > 0 THEN (len(gone) - dh) / len(gone) ELSE 1 END AS d FROM c), "
+    "m AS (SELECT conv_id, turn, avg(CASE WHEN p1 > 0 AND r1 > 0 THEN 2 * p1 * r1 / (p1 + r1) ELSE 0 END) AS a, avg(CASE WHEN p2 > 0 AND r2 > 0 THEN 2 * p2 * r2 / (p2 + r2) ELSE 0 END) AS k, avg(d) AS d FROM r GROUP BY 1, 2) "
+    'SELECT conv_id, turn, round(a, 6) AS "add", round(k, 6) AS keep, round(d, 6) AS "delete", round((a + k + d) / 3, 6) AS sari FROM m'
+)
 _PRICES = "return orders ;return total price of #1 ;"
 _AGG = _PRICES + "return average of #2"
 _ARITH = _PRICES + "return highest of #2 ;return lowest of #2 ;return the sum of #3 and #4"
@@ -230,6 +257,12 @@ OPERATIONS = {
         'SELECT conv_id, turn, round(CASE WHEN p1 > 0 AND r1 > 0 THEN 2 * p1 * r1 / (p1 + r1) ELSE 0 END, 6) AS "add", round(CASE WHEN p2 > 0 AND r2 > 0 THEN 2 * p2 * r2 / (p2 + r2) ELSE 0 END, 6) AS keep, round(d, 6) AS "delete" FROM r',
     ),
     "sari": (sari, None),
+    "sari_targets": (sari_targets, _SARI_TARGETS),
+    "span_scores": (
+        span_scores,
+        "WITH r AS (SELECT (position('an' IN text) - 1) % 5 AS s, (position('an' IN text) - 1) % 3 AS e, position('the' IN text) - 1 AS g FROM benchmark), k AS (SELECT s, e, g % 5 AS gs, g % 3 AS ge FROM r WHERE g >= 0 AND g % 5 <> 0) "
+        "SELECT round(avg((s = gs)::INTEGER), 6) AS start_acc, round(avg((e = ge)::INTEGER), 6) AS end_acc, round(avg((s = gs AND e = ge)::INTEGER), 6) AS span_acc, count(*) AS n FROM k",
+    ),
     "find_spans": (find_spans, "SELECT item_id, unnest(list_filter(range(0, length(text) - 1), lambda i: substr(text, i + 1, 2) = 'an'))::BIGINT AS \"offset\" FROM benchmark"),
     "json_props": (json_props, "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events"),
     "best_answer": (best_answer, "SELECT user_id, arg_max(event_id, row(value, event_id)) AS best_event FROM events GROUP BY 1"),

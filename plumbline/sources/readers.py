@@ -184,3 +184,19 @@ def jsonl(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 def ids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("qid")).where("qid <> ''")
+
+
+def by_question_id(flat: DataFrame, whole: bool = True) -> DataFrame:
+    """Flat questions with question_id, by which they are joined: passage and query, or the query alone."""
+    return flat.withColumn("question_id", F.concat_ws("_", "passage_id", "query_id") if whole else F.col("query_id"))
+
+
+def cached(spark: SparkSession, path: str, make) -> DataFrame:
+    """The table at path, made and written first where there is none."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        make().write.mode("errorifexists").parquet(path)
+        return spark.read.parquet(path)

@@ -98,3 +98,21 @@ def test_offsets_after_standardising(spark, tmp_path):
     (tmp_path / "s.json").write_text('{"version": "1", "data": [{"title": "T", "paragraphs": [{"context": "%s", "qas": [{"id": "x", "question": " Who? ", "answers": [{"text": "won", "answer_start": 13}]}]}]}]}' % context)
     got = readers.squad_questions(spark, str(tmp_path / "s.json")).first()
     assert got.question == "Who?" and got.context[got.answers[0].answer_start :].startswith(got.answers[0].text) and got.answers[0].answer_start == 11
+
+
+def test_keys_and_cache(spark, tmp_path):
+    flat = spark.createDataFrame([("p", "q")], "passage_id string, query_id string")
+    assert [readers.by_question_id(flat, w).first().question_id for w in (True, False)] == ["p_q", "q"]
+    made = []
+    make = lambda: made.append(1) or flat
+    assert [readers.cached(spark, str(tmp_path / "c"), make).count() for _ in range(2)] == [1, 1] and made == [1]
+
+
+def test_sari_of_targets(spark):
+    from plumbline.functions import metrics
+
+    row = spark.createDataFrame([(["a", "b", "c"], ["a", "b", "d"], [["a", "b", "d"]]), (["a"], ["b"], [["a"], ["b"], []]), (["a"], ["a"], [])], "s array<string>, p array<string>, t array<array<string>>")
+    got = row.select(*[v.alias(k) for k, v in metrics.sari_of_targets(F.col("s"), F.col("p"), F.col("t")).items()]).collect()
+    assert got[0].sari == 1.0 and abs(got[1].delete - (0.5 + 3) / 4) < 1e-12 and abs(got[1]["add"] - 1.0) < 1e-12 and got[2].delete == 1.0
+    one = row.limit(1).select(metrics.sari(F.col("s"), F.col("p"), F.get("t", F.lit(0))).alias("x")).first().x
+    assert abs(one - got[0].sari) < 1e-12
