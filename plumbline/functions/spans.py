@@ -141,3 +141,29 @@ def encoded(question: str, passage: str, answers: list[dict], layout: str = "dro
         "tokens": pt, "question_tokens": qt, "numbers": numbers, "number_positions": places, "passage_spans": in_passage or [(-1, -1)], "question_spans": in_question or [(-1, -1)],
         "signs": signs or [[0] * len(numbers)], "counts": counts or [-1],
     }
+
+
+#: What stands before each question, and tokens that bound the two texts.
+YES_NO, CLS, SEP = ("yes", "no", "@@YES_NO_SEP@@"), "[CLS]", "[SEP]"
+
+
+def span_encoded(question: str, context: str, answer: str | None, start: int | None, impossible: bool | None = None, boolq: bool = False, limit: int = 512, tokenizer=tokens_of, training: bool = True) -> dict | None:
+    """One sequence of both texts, cut from the end of the longer one to the limit, with token spans: of the answer ((0, 0) for a
+    question without one, (-1, -1) where it isn't known), of the context, and of `yes no`. A boolean question's answer is
+    in that. In training None where an answer should be there and can't be found. tokenizer: tokens with their offsets."""
+    asked, told = [*((t, -1) for t in YES_NO), *tokenizer(question + ("?" if boolq else ""))], tokenizer(context)
+    room = limit - 3
+    q, c = len(asked), len(told)
+    while q + c > room:
+        q, c = (q - 1, c) if q > c else (q, c - 1)
+    tokens, first = [CLS, *(t for t, _ in asked[:q]), SEP, *(t for t, _ in told[:c]), SEP], q + 2
+    found = None
+    if answer and boolq:
+        found = (1 + YES_NO.index(answer),) * 2 if answer in YES_NO[:2] else None
+    elif answer and start is not None:
+        near = char_spans(context, answer, start)
+        span = token_span(told, near[0]) if near else None
+        found = (first + span.start, first + span.end) if span and span.end < c else None
+    if training and found is None and not impossible:
+        return None
+    return {"tokens": tokens, "answer_span": found or ((0, 0) if impossible else (-1, -1)), "context_span": (first, first + c - 1) if c else (-1, -1), "yes_no_span": (1, 2)}

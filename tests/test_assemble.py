@@ -116,3 +116,31 @@ def test_sari_of_targets(spark):
     assert got[0].sari == 1.0 and abs(got[1].delete - (0.5 + 3) / 4) < 1e-12 and abs(got[1]["add"] - 1.0) < 1e-12 and got[2].delete == 1.0
     one = row.limit(1).select(metrics.sari(F.col("s"), F.col("p"), F.get("t", F.lit(0))).alias("x")).first().x
     assert abs(one - got[0].sari) < 1e-12
+
+
+def test_sequences(spark):
+    from plumbline.functions.spans import span_encoded
+    from plumbline.operators import encode
+    from plumbline.sources import schemas
+
+    row = span_encoded("Who ran", "Then Ann Lee ran, and Ann Lee won.", "Ann Lee", 22)
+    assert row["tokens"][:4] == ["[CLS]", "yes", "no", "@@YES_NO_SEP@@"] and row["yes_no_span"] == (1, 2)
+    a, b = row["answer_span"]
+    assert row["tokens"][a : b + 1] == ["Ann", "Lee"] and row["tokens"][b + 1] == "won" and row["tokens"][row["context_span"][0]] == "Then"
+    assert span_encoded("Who", "Nobody", "Ann", 0) is None and span_encoded("Who", "Nobody", "Ann", 0, training=False)["answer_span"] == (-1, -1)
+    assert span_encoded("Who", "Nobody", None, None, impossible=True)["answer_span"] == (0, 0)
+    assert span_encoded("is it", "x", "no", None, boolq=True)["answer_span"] == (2, 2)
+    short = span_encoded("Who " * 3, "a " * 50 + "Ann", "Ann", 100, limit=20, training=False)
+    assert len(short["tokens"]) == 20 and short["answer_span"] == (-1, -1) and span_encoded("Who", "a " * 50 + "Ann", "Ann", 100, limit=20) is None
+    rows = spark.createDataFrame([("a", "Who", "Then Ann", [("Ann", 5)], False, False), ("b", "Who", "x", [], True, False), ("c", "Who", "x", [], False, False), (None, None, None, None, None, None)], f"query_id string, question string, context string, answers array<{schemas.SQUAD_ANSWER}>, is_impossible boolean, is_boolq boolean")
+    got = {r.query_id: r for r in encode.span_instances(rows).collect()}
+    assert got.keys() == {"a", "b"} and got["a"].tokens[got["a"].answer_span.start] == "Ann" and got["b"].answer_span.start == 0
+
+
+def test_pairs(spark):
+    from plumbline.operators import encode
+
+    rows = spark.createDataFrame([("p", "ask: Q", ["dogs", "number of @@1@@"]), ("q", "ask: R", None)], "question_id string, source string, steps array<string>")
+    assert {r.question_id: r.target for r in encode.parser_pairs(rows).collect()} == {"p": "@@START@@ dogs @@SEP@@ number of @@1@@", "q": None}
+    rows = spark.createDataFrame([("p", ["dogs"], "Q?", "program"), ("q", ["cats"], "R?", "perturbed")], "question_id string, steps array<string>, question string, kind string")
+    assert {r.question_id: (r.source, r.target) for r in encode.question_pairs(rows).collect()} == {"p": ("dogs", "@@START@@ Q?"), "q": ("cats", None)}
